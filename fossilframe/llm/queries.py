@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fossilframe.llm import chat
 from fossilframe.llm.common import table
 
 
@@ -15,6 +16,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fossilframe.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fossilframe.llm.shards import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest_conversations(spark, chat.with_control_case(spark, table(spark, sf_dir, "conversations")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fossilframe.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fossilframe.llm.pieces import digest_documents
 
@@ -22,7 +45,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_sharding": op3_sharding,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_decontamination": op6_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_chat_formatting": chat.SQL}
