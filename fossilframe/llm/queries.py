@@ -38,6 +38,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fossilframe.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fossilframe.llm.private import find_private
+
+    return find_private(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fossilframe.llm.pieces import digest_documents
 
@@ -47,8 +59,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_language_id": op4_language_id,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_decontamination": op6_decontamination,
+    "op8_pii": op8_pii,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
