@@ -16,6 +16,11 @@ WORD = re.compile(r"[^ \t-\r]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
+def lower_ascii(text: str) -> str:
+    """text with A-Z, and nothing else, lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; set to a local one only where the session names none (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
@@ -94,6 +99,6 @@ def word_arrays(texts: list[str | None], pattern: re.Pattern = WORD, lower: bool
     ends, words = [0], []
     for t in texts:
         if t:
-            words.extend(pattern.findall(t.translate(LOWER) if lower else t))
+            words.extend(pattern.findall(lower_ascii(t) if lower else t))
         ends.append(len(words))
     return hash_words(words), np.array(ends, np.int64)

@@ -10,14 +10,14 @@ All phases read one shuffle of the texts (Spark reuses the equal exchange).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.llm.common import WORD, LOWER, hash_words, ranged_scan
+from fossilframe.llm.common import WORD, hash_words, lower_ascii, ranged_scan
 
 #: Stands for a null id: after all others.
 LAST = 2**63 - 1
@@ -136,7 +136,7 @@ class Words:
         self.ids = ids[order]
         texts = t.column("text").to_pylist()
         find = pattern.findall
-        self.words: list[list[str]] = [find(x.translate(LOWER) if lower else x) if x else [] for x in (texts[i] for i in order)]
+        self.words: list[list[str]] = [find(lower_ascii(x) if lower else x) if x else [] for x in (texts[i] for i in order)]
         self.ends = np.cumsum([len(w) for w in self.words]) if self.words else np.empty(0, np.int64)
         self.starts = self.ends - [len(w) for w in self.words] if self.words else self.ends
         self.h = hash_words([w for ws in self.words for w in ws])

@@ -22,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fossilframe.llm.jaccard import duplicate_components
+
+    return duplicate_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fossilframe.llm.shards import shard_documents
 
@@ -44,6 +50,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fossilframe.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fossilframe.llm.private import find_private
 
@@ -64,10 +76,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_decontamination": op6_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
