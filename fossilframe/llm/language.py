@@ -46,7 +46,7 @@ class Model:
         self.languages = sorted(counts)
         self.order = order
         trees = [self._tree(counts[x], order) for x in self.languages]
-        seen = sorted({c for t in trees for c in t.get(b"", {})})
+        seen = sorted({c for g in counts.values() for x in g for c in x})
         self.alphabet = len(seen) + 1  # the last symbol stands for any unseen byte
         self.symbol = np.full(256, len(seen), np.uint8 if len(seen) < 255 else np.uint16)
         self.symbol[seen] = range(len(seen))
@@ -101,11 +101,7 @@ class Model:
             ctx = np.zeros(end - begin, np.int64)
             for d in range(self.order, 0, -1):
                 ctx *= a
-                low = begin - d
-                part = s[max(0, low) : end - d]
-                if low < 0:
-                    part = np.concatenate([np.full(-low, s[0]), part])
-                ctx += part
+                ctx += s[np.maximum(np.arange(begin - d, end - d), 0)]
             out += self.bits[self.node[ctx] * np.int64(a) + s[begin:end]].sum(0, dtype=np.float64)
         return out
 

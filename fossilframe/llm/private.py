@@ -106,8 +106,11 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
 
 def joined(kinds: tuple[str, ...]) -> Column:
     """The spans as kind:start:end, by kind as listed, then start, joined by commas."""
-    each = [F.transform(F.col(k), lambda x, k=k: F.concat(F.lit(f"{k}:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))) for k in kinds]
-    return F.array_join(F.concat(*each), ",")
+
+    def written(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x: F.concat(F.lit(f"{kind}:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
+
+    return F.array_join(F.concat(*map(written, kinds)), ",")
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -140,8 +143,11 @@ def mask_private(docs: DataFrame) -> DataFrame:
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(cols)]
     plain = found.filter(~F.coalesce(some, F.lit(False))).select(*back)
     d = found.filter(some).join(discovered(found), "uid", "left").withColumn("id", F.coalesce("id", F.expr("CAST(array() AS array<struct<s:int,e:int>>)")))
-    spans = F.array_sort(F.concat(*[F.transform(F.col(k), lambda x, k=k: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit(k).alias("k"))) for k in KINDS]))
-    d = d.withColumn("_spans", spans)
+
+    def placed(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit(kind).alias("k")))
+
+    d = d.withColumn("_spans", F.array_sort(F.concat(*map(placed, KINDS))))
     step = "(a, x) -> CASE WHEN x.s >= a.at THEN named_struct('at', -x.e, 'out', concat(a.out, substr(text, a.at + 1, x.s - a.at), '[', upper(x.k), ']')) ELSE named_struct('at', greatest(a.at, -x.e), 'out', a.out) END"
     d = d.withColumn("_masked", F.expr(f"aggregate(_spans, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substr(text, a.at + 1)))"))
     masked = d.select(*[F.col("_masked").alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
