@@ -72,7 +72,8 @@ def _add(t: pa.Table) -> np.ndarray:
 
 def corpus_counts(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tables of the target and of all documents. target: distinct doc_ids."""
-    flagged = ranged_scan(docs, "doc_id", "text").join(target.select("doc_id", F.lit(True).alias("target")), "doc_id", "left")
+    # the same join at every size: a broadcast of the target would have no bound
+    flagged = ranged_scan(docs, "doc_id", "text").join(target.select("doc_id", F.lit(True).alias("target")).hint("merge"), "doc_id", "left")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {0: np.zeros(LENGTH, np.int64), 1: np.zeros(LENGTH, np.int64)}
