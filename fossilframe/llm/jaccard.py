@@ -2,15 +2,17 @@
 
 1 - Jaccard is a metric, but between unrelated texts it is 1: a Voronoi partition around a few pivots alone would put
 all of them, at equal distance, into every region. So the pivots are many and local. All shingles have one fixed order
-(those frequent in a sample last, then by hash). Two linked sets must share a shingle among their first n - ceil(t n) + 1.
-The smallest document that has a shingle in its prefix is the pivot of that shingle's holders; each document goes to the
-regions of its prefix's pivots, so every linked pair meets in at least one region.
+(those frequent in a sample last, then by hash). Two linked sets must share a shingle among their first n - ceil(t n) + 1,
+and their sizes fall in one class or in two that are next to each other, as the distance to the empty set bounds theirs.
+The smallest document that has a shingle in its prefix is the pivot of that shingle's holders of like size; each document
+goes to the regions of its prefix's pivots, so every linked pair meets in at least one region.
 
 Within a region, pivot after pivot takes a ball: with t the largest linked distance, members within t of the pivot are
 linked to it; members within 2 t are the window of the triangle inequality, beyond which none can be linked to the ball.
 The window is compared with the ball and stays, replicated, for the regions that follow; the ball is taken out, and the
 rest is joined recursively. Identical sets are one member. All comparisons are exact counts of 63-bit shingle hashes.
 
+Sets travel as 48 bits a shingle: two different shingles of a region's pair agree in those with odds of about n^2 / 2^48.
 Links are given out as a spanning star of each region's components, never as all pairs.
 """
 
@@ -24,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.llm.common import WORD, batches_of, gram_hashes, hash_words, lower_ascii, ranged_scan, stored
+from fossilframe.llm.common import WORD, _mix, batches_of, gram_hashes, hash_words, lower_ascii, ranged_scan, stored
 from fossilframe.llm.components import connected_components
 from fossilframe.llm.exchange import LAST, PACKED, Words, answers, grouped, meet, pack, planes, runs, sizes, unplanes
 
 #: Documents sampled to find frequent shingles, and the most such shingles kept. They steer the order, not the result.
-SAMPLE, FREQUENT = 3000, 300_000
+SAMPLE, FREQUENT = 20_000, 2_000_000
 HEAVY = np.uint64(1 << 63)
 
 
@@ -74,9 +76,29 @@ def _distinct_sets(w: Words, k: int, heavy: np.ndarray) -> tuple[np.ndarray, lis
 
 
 def _prefixes(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's prefix shingles, and the place of their set."""
-    cut = [s[: len(s) - -(-num * len(s) // den) + 1] for s in sets]
-    return np.concatenate(cut) if cut else np.empty(0, np.uint64), np.repeat(np.arange(len(sets)), [len(c) for c in cut])
+    """Each set's prefix shingles, marked with its size class and with the next, and the place of their set.
+
+    Sizes of linked sets differ by a factor of den / num at most, so classes of that width differ by one at most.
+    """
+    if not sets:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    width = np.log(den / num) * (1 + 1e-9)
+    keys = []
+    for s in sets:
+        k, c = s[: len(s) - -(-num * len(s) // den) + 1], int(np.log(len(s)) / width)
+        keys += [_mix(k ^ np.uint64(c << 40)), _mix(k ^ np.uint64((c + 1) << 40))]
+    return np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(a) + len(b) for a, b in zip(keys[::2], keys[1::2], strict=True)])
+
+
+def _short(s: np.ndarray) -> bytes:
+    """The low 48 bits of the hashes."""
+    return s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def link_region(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -213,7 +235,7 @@ def link_edges(docs: DataFrame, k: int, num: int, den: int, total: int) -> DataF
             out["pivot"].append(planes(mine[:, 0]))
             out["id"].append(planes(ids[mine[:, 1]]))
             out["n"].append(np.array([len(sets[i]) for i in mine[:, 1]], np.int32).tobytes())
-            out["sets"].append(b"".join(sets[i].tobytes() for i in mine[:, 1]))
+            out["sets"].append(b"".join(_short(sets[i]) for i in mine[:, 1]))
         return pa.table({"b": pa.array(out["b"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("pivot", "id", "n", "sets")}})
 
     def regions(t: pa.Table) -> pa.Table:
@@ -221,7 +243,7 @@ def link_edges(docs: DataFrame, k: int, num: int, den: int, total: int) -> DataF
         for p, i, n, s in zip(*(t.column(c).to_pylist() for c in ("pivot", "id", "n", "sets")), strict=True):
             pivot.append(unplanes(p))
             ids.append(unplanes(i))
-            sets += np.split(np.frombuffer(s, np.uint64), np.cumsum(np.frombuffer(n, np.int32))[:-1])
+            sets += np.split(_long(s), np.cumsum(np.frombuffer(n, np.int32))[:-1])
         pivot, ids = np.concatenate(pivot), np.concatenate(ids)
         order = np.lexsort((ids, pivot))
         edges: list[tuple[int, int]] = []
