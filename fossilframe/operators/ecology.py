@@ -124,6 +124,8 @@ def null_model(community: DataFrame, statistic: str = "c_score", permutations: i
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             out = []
             for k in pdf["id"]:
                 rnd, x = np.random.default_rng([seed, int(k)]), shared.value.copy()
@@ -170,6 +172,8 @@ def dtw(series: DataFrame, pairs: DataFrame, window: int | None = None) -> DataF
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             got = [one(np.array(x), np.array(y)) for x, y in zip(pdf["va"], pdf["vb"], strict=True)]
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "distance": [g[0] for g in got], "path_length": [g[1] for g in got]})
 

@@ -126,6 +126,8 @@ def _permuted(spark, permutations: int, seed: int, statistic, labels: np.ndarray
     def run(it):
         m, own = shared.value
         for pdf in it:
+            if pdf.empty:
+                continue
             yield pd.DataFrame({"v": [statistic(m, np.random.default_rng([seed, int(k)]).permutation(own)) for k in pdf["id"]]})
 
     parts = max(1, min(permutations, spark.sparkContext.defaultParallelism))

@@ -53,6 +53,8 @@ def simulate_fbd(spark, birth: float, death: float, sampling: float, time: float
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             for r in pdf["id"]:
                 rnd, t, n, total, fossils, events = np.random.default_rng([seed, int(r)]), 0.0, n0, n0, 0, 0
                 curve, rate = [(0.0, n0)], birth + death + sampling
@@ -80,6 +82,8 @@ def simulate_neutral(spark, n: int, time: float, speciation: float = 0.1, extinc
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             for r in pdf["id"]:
                 rnd, alive, rows = np.random.default_rng([seed, int(r)]), n, []
                 for k in range(1, int(round(time / dt)) + 1):

@@ -41,6 +41,8 @@ def gpa(configs: DataFrame, max_iter: int = 100, tol: float = 1e-8) -> dict[str,
 
         def turn(it, mean=mean):
             for pdf in it:
+                if pdf.empty:
+                    continue
                 z, _ = shapes(pdf["config"])
                 r = (z.conj() * mean).sum(1)
                 s = (z * (r / np.where(np.abs(r) > 0, np.abs(r), 1))[:, None]).sum(0)
@@ -56,6 +58,8 @@ def gpa(configs: DataFrame, max_iter: int = 100, tol: float = 1e-8) -> dict[str,
 
     def align(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             z, size = shapes(pdf["config"])
             r = (z.conj() * mean).sum(1)
             a = z * (r / np.where(np.abs(r) > 0, np.abs(r), 1))[:, None]
@@ -142,6 +146,8 @@ def thin_plate_spline(pairs: DataFrame, grid: int = 15) -> dict[str, DataFrame]:
 
     def place(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             q = pdf[["gx", "gy"]].to_numpy()
             z = np.hstack([u(((q[:, None] - s[None]) ** 2).sum(-1)), np.ones((len(q), 1)), q]) @ w
             yield pd.DataFrame({"gx": q[:, 0], "gy": q[:, 1], "x": z[:, 0], "y": z[:, 1]})

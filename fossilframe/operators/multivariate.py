@@ -35,12 +35,15 @@ def moments(df: DataFrame, cols: tuple[str, ...] = ("features",), by: str | None
     def run(it):
         acc: dict = {}
         for pdf in it:
+            if pdf.empty:
+                continue
             for g, part in pdf.groupby("grp", dropna=False):
                 x = np.array([v for v in part["v"] if v is not None and len(v) == width], float)
                 x = x[~np.isnan(x).any(1)] if len(x) else x.reshape(0, width)
                 n, s, c = acc.get(g, (0, 0.0, 0.0))
                 acc[g] = (n + len(x), s + x.sum(0), c + x.T @ x)
-        yield pd.DataFrame({"grp": list(acc), "n": [float(a[0]) for a in acc.values()], "s": [list(a[1]) for a in acc.values()], "c": [a[2].ravel().tolist() for a in acc.values()]})
+        if acc:
+            yield pd.DataFrame({"grp": list(acc), "n": [float(a[0]) for a in acc.values()], "s": [list(a[1]) for a in acc.values()], "c": [a[2].ravel().tolist() for a in acc.values()]})
 
     parts = d.mapInPandas(run, "grp string, n double, s array<double>, c array<double>")
     out: dict = {}
@@ -131,6 +134,8 @@ def nmds(distances: DataFrame, k: int = 2, max_iter: int = 300, restarts: int =
     def run(it):
         _, order = shared.value
         for pdf in it:
+            if pdf.empty:
+                continue
             for r in pdf["id"]:
                 x = np.random.default_rng([seed, int(r)]).normal(size=(n, k)) * 0.01
                 best, steps = np.inf, 0
@@ -201,7 +206,7 @@ def constrained(df: DataFrame, components: int | None = None, method: str = "rda
         xm = df.select(row.alias("w"), F.posexplode("x").alias("k", "v")).groupBy("k").agg((F.sum(F.col("w") * F.col("v"))).alias("m"))
         means = [r["m"] for r in xm.orderBy("k").collect()]
         x = F.zip_with(F.col("x").cast("array<double>"), F.array(*[F.lit(float(m)) for m in means]), lambda v, m: (v - m) * F.sqrt(row))
-        _, _, c = moments(df.filter(row > 0).select(y.alias("y"), x.alias("x")), ("y", "x"))[""]
+        _, _, c = moments(df.filter(row > 0).select(y.alias("_y"), x.alias("_x")), ("_y", "_x"))[""]
         denom = 1.0
     else:
         n, s, c = moments(df, ("y", "x"))[""]
@@ -267,6 +272,8 @@ def convex_hull(points: DataFrame) -> DataFrame:
     def corners(it):
         held = np.empty((0, 2))
         for pdf in it:
+            if pdf.empty:
+                continue
             held = hull(np.concatenate([held, np.array(pdf["features"].tolist(), float)]))
         yield pd.DataFrame({"x": held[:, 0], "y": held[:, 1]})
 

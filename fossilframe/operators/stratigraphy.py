@@ -112,6 +112,8 @@ def periodogram(series: DataFrame) -> DataFrame:
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             for s, v in zip(pdf["series"], pdf["v"], strict=True):
                 x = np.array(v, float)
                 p = np.abs(np.fft.rfft(x - x.mean())[1 : len(x) // 2 + 1]) ** 2 / len(x)
@@ -170,6 +172,8 @@ def wavelet(series: DataFrame, low: int = 2, high: int = 60, step: int = 2) -> D
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             for s, v in zip(pdf["series"], pdf["v"], strict=True):
                 x = np.array(v, float)
                 n = len(x)
@@ -213,6 +217,8 @@ def polynomial_trend(series: DataFrame, degree: int = 2) -> DataFrame:
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             rows = []
             for r in pdf.to_dict("records"):
                 g = np.array([[r[f"p{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
@@ -293,6 +299,8 @@ def fit_arma(series: DataFrame, p: int = 1, q: int = 0) -> DataFrame:
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             rows = []
             for s, v in zip(pdf["series"], pdf["v"], strict=True):
                 x = np.array(v, float)
@@ -311,6 +319,8 @@ def forecast(model: DataFrame, steps: int) -> DataFrame:
 
     def run(it):
         for pdf in it:
+            if pdf.empty:
+                continue
             rows = []
             for r in pdf.to_dict("records"):
                 last, phi = list(r["last"]), np.array(r["phi"])

@@ -27,7 +27,8 @@ def read_matrix(spark: SparkSession, path: str, delimiter: str = ",", header: bo
     lines = spark.read.text(path).where(F.trim("value") != "")
     if not lines.take(1):
         raise ValueError("empty text")
-    width = lines.agg(F.max(F.size(F.split("value", _literal(delimiter), -1)))).first()[0]
+    bare = F.regexp_replace("value", '"[^"]*"', "")  # delimiters inside quotes don't count
+    width = lines.agg(F.max(F.size(F.split(bare, _literal(delimiter), -1)))).first()[0]
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.schema(schema).csv(path, sep=delimiter, header=False, mode="PERMISSIVE", quote='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="\u0000", emptyValue="")
     d = raw.withColumn("row_idx", F.monotonically_increasing_id())
