@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fossilframe.llm import chat
+from fossilframe.llm import chat, sql
 from fossilframe.llm.common import table
 
 
@@ -87,4 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-SQL: dict[str, str] = {"op5_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {
+    "op2_jaccard_join": sql.JACCARD,
+    "op5_chat_formatting": chat.SQL,
+    "op6_decontamination": sql.DECONTAMINATION,
+    "op9_substring_dedup": sql.PASSAGES,
+}
