@@ -23,7 +23,7 @@ from fossilframe.llm.common import WORD, hash_words, lower_ascii, ranged_scan
 LAST = 2**63 - 1
 PRIME, FACTOR = 2_147_483_647, 48_271
 #: Groups and buckets for each shuffle partition. A group sends at most a row to each bucket, and no more rows than hashes.
-GROUPS, BUCKETS = 4, 1
+GROUPS, BUCKETS = 2, 1
 PACKED = "b int, g int, keys binary, aux binary"
 ANSWER = "g int, keys binary, aux binary"
 
