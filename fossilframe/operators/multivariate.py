@@ -25,7 +25,8 @@ def symmetric_eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def moments(df: DataFrame, cols: tuple[str, ...] = ("features",), by: str | None = None) -> dict:
     """{group: (n, sums, cross products)} of the concatenated array columns; rows with a null or NaN anywhere are left out.
 
-    Each task adds up its rows with one matrix product a batch and hands on one partial a group.
+    Each task adds up its rows with one matrix product a batch and hands on one partial a group; partials are added in
+    Spark, so that at most 16 a group reach the driver, whatever the number of tasks.
     """
     width = len(df.select(F.concat(*cols).alias("v")).filter("v IS NOT NULL").first()["v"])
     if width > MAX_FEATURES:
@@ -45,19 +46,26 @@ def moments(df: DataFrame, cols: tuple[str, ...] = ("features",), by: str | None
         if acc:
             yield pd.DataFrame({"grp": list(acc), "n": [float(a[0]) for a in acc.values()], "s": [list(a[1]) for a in acc.values()], "c": [a[2].ravel().tolist() for a in acc.values()]})
 
-    parts = d.mapInPandas(run, "grp string, n double, s array<double>, c array<double>")
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, c = (np.sum(np.stack(pdf[k].to_list()), 0).tolist() for k in ("s", "c"))
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "n": [pdf["n"].sum()], "s": [s], "c": [c]})
+
+    schema = "grp string, n double, s array<double>, c array<double>"
+    parts = d.mapInPandas(run, schema).withColumn("part", F.spark_partition_id() % 16).groupBy("grp", "part").applyInPandas(add, schema)
     out: dict = {}
-    for g, n, s, c in parts.toLocalIterator():  # one row for each task and group
+    for g, n, s, c in parts.collect():
         m = out.get(g, (0.0, np.zeros(width), np.zeros((width, width))))
         out[g] = (m[0] + n, m[1] + np.array(s), m[2] + np.array(c).reshape(width, width))
     return out
 
 
-def _dot(col: str, v: np.ndarray, centre: np.ndarray | None = None, scale: np.ndarray | None = None):
-    """Expression: ((x - centre) / scale) . v, with the constant part folded."""
-    w = v if scale is None else v / scale
-    shift = float(centre @ w) if centre is not None else 0.0
-    return F.aggregate(F.zip_with(F.col(col).cast("array<double>"), F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - shift
+def project(col: str, vectors: np.ndarray, centre: np.ndarray | None = None, scale: np.ndarray | None = None):
+    """Expression: array of ((x - centre) / scale) . v for each column v of vectors, the constant part folded."""
+    w = vectors if scale is None else vectors / scale[:, None]
+    shift = centre @ w if centre is not None else np.zeros(w.shape[1])
+    number = lambda v: f"{float(v)!r}D"
+    rows = ", ".join(f"struct(array({', '.join(map(number, w[:, i]))}) AS w, {number(shift[i])} AS c)" for i in range(w.shape[1]))
+    return F.expr(f"transform(array({rows}), p -> aggregate(zip_with(CAST({col} AS array<double>), p.w, (a, b) -> a * b), 0D, (s, x) -> s + x) - p.c)")
 
 
 def pca(df: DataFrame, components: int | None = None, matrix: str = "covariance") -> dict[str, DataFrame]:
@@ -75,7 +83,7 @@ def pca(df: DataFrame, components: int | None = None, matrix: str = "covariance"
     return {
         "variance": spark.createDataFrame([(i + 1, float(values[i]), float(share[i]), float(share[: i + 1].sum())) for i in range(k)], "component int, eigenvalue double, percent double, cumulative double"),
         "loadings": spark.createDataFrame([(i + 1, j, float(vectors[j, i] * np.sqrt(values[i]))) for i in range(k) for j in range(len(s))], "component int, variable int, value double"),
-        "scores": df.select("id", F.array(*[_dot("features", vectors[:, i], mean, scale) for i in range(k)]).alias("pc")),
+        "scores": df.select("id", project("features", vectors[:, :k], mean, scale).alias("pc")),
     }
 
 
@@ -181,7 +189,7 @@ def lda(df: DataFrame, components: int | None = None) -> dict[str, DataFrame]:
     w = white @ axes[:, :k]
     w *= np.where(w[np.abs(w).argmax(0), range(k)] < 0, -1.0, 1.0)
     spark = df.sparkSession
-    scores = df.select("id", F.col("group").cast("string").alias("group"), F.array(*[_dot("features", w[:, i]) for i in range(k)]).alias("axes"))
+    scores = df.select("id", F.col("group").cast("string").alias("group"), project("features", w).alias("axes"))
     centres = [(g, (by[g][1] / by[g][0] @ w).tolist()) for g in names]
     nearest = F.array_min(F.array(*[F.struct(F.aggregate(F.zip_with("axes", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b).alias("d"), F.lit(g).alias("g")) for g, c in centres]))
     confusion = scores.select(F.col("group").alias("actual"), nearest["g"].alias("predicted")).groupBy("actual", "predicted").agg(F.count("*").alias("n"))
@@ -236,7 +244,7 @@ def pls(df: DataFrame, components: int | None = None, center: bool = False) -> d
     spark = df.sparkSession
     return {
         "axes": spark.createDataFrame([(i + 1, float(sv[i]), float(100 * sv[i] / sv.sum()), rv) for i in range(k)], "axis int, singular double, percent double, rv double"),
-        "scores": df.select("id", F.array(*[_dot("a", u[:, i], mean[:p]) for i in range(k)]).alias("xs"), F.array(*[_dot("b", v[:, i], mean[p:]) for i in range(k)]).alias("ys")),
+        "scores": df.select("id", project("a", u[:, :k], mean[:p]).alias("xs"), project("b", v[:, :k], mean[p:]).alias("ys")),
     }
 
 
