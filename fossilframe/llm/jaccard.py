@@ -1,11 +1,14 @@
 """Exact Jaccard self-join of documents on word n-grams, as a join in the metric space of Jaccard distance.
 
 1 - Jaccard is a metric, but between unrelated texts it is 1: a Voronoi partition around a few pivots alone would put
-all of them, at equal distance, into every region. So the pivots are many and local. All shingles have one fixed order
-(those frequent in a sample last, then by hash). Two linked sets must share a shingle among their first n - ceil(t n) + 1,
-and their sizes fall in one class or in two that are next to each other, as the distance to the empty set bounds theirs.
-The smallest document that has a shingle in its prefix is the pivot of that shingle's holders of like size; each document
-goes to the regions of its prefix's pivots, so every linked pair meets in at least one region.
+all of them, at equal distance, into every region. So the pivots are many and local. The distance to the empty set, which
+is the size, bounds sizes of linked sets to one class of width den / num or two that are next to each other. For the
+pairs whose larger set is in a class, at most `k` shingles can be in one set and not in the other; the shingles are
+dealt by hash into more than k slots, so linked sets agree wholly in at least one slot that isn't empty (pigeonholes).
+The smallest document with given contents of a slot is the pivot of all that have them; each document goes to the
+regions of its slots' pivots, so every linked pair meets in at least one region, and texts that only share a passage
+hardly ever meet. Sets with too many empty slots for that argument (both of the pair would have to be such) also use a
+prefix of their shingles in hash order: linked sets share one of the first n - ceil(t n) + 1.
 
 Within a region, pivot after pivot takes a ball: with t the largest linked distance, members within t of the pivot are
 linked to it; members within 2 t are the window of the triangle inequality, beyond which none can be linked to the ball.
@@ -26,13 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.llm.common import WORD, _mix, batches_of, gram_hashes, hash_words, lower_ascii, ranged_scan, stored
+from fossilframe.llm.common import WORD, _mix, batches_of, gram_hashes, ranged_scan, stored
 from fossilframe.llm.components import connected_components
 from fossilframe.llm.exchange import LAST, PACKED, Words, answers, grouped, meet, pack, planes, runs, sizes, unplanes
 
-#: Documents sampled to find frequent shingles, and the most such shingles kept. They steer the order, not the result.
-SAMPLE, FREQUENT = 20_000, 2_000_000
-HEAVY = np.uint64(1 << 63)
+DEALT = pa.schema([("b", pa.int32()), ("pivot", pa.binary()), ("id", pa.binary()), ("n", pa.binary()), ("sets", pa.binary())])
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -43,51 +44,75 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(g >> np.uint64(1))
 
 
-def _group_sets(w: Words, k: int, heavy: np.ndarray) -> list[np.ndarray]:
-    """The sets of a group's documents, in the common order; frequent shingles carry the top bit."""
-    at = w.valid(k)
-    g = gram_hashes(w.h, k, 2)[at] >> np.uint64(1)
-    if len(heavy) and len(g):
-        place = np.minimum(np.searchsorted(heavy, g), len(heavy) - 1)
-        g = np.where(heavy[place] == g, g | HEAVY, g)
-    doc = w.doc[at]
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    g, doc = g[new], doc[new]
-    ends = np.searchsorted(doc, np.arange(len(w.ids)), "right")
-    out = np.split(g, ends[:-1]) if len(w.ids) else []
-    for i, (s, e) in enumerate(zip(w.starts, w.ends, strict=True)):
-        if 0 < e - s < k:
-            out[i] = shingles(w.h[s:e], k)
-    return out
-
-
-def _distinct_sets(w: Words, k: int, heavy: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The smallest document of each distinct set of the group that isn't empty, and the sets."""
-    seen, ids, out = set(), [], []
-    for i, s in enumerate(_group_sets(w, k, heavy)):
-        if len(s) and (key := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
-            seen.add(key)
-            ids.append(w.ids[i])
-            out.append(s)
-    return np.array(ids, np.int64), out
-
-
-def _prefixes(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's prefix shingles, marked with its size class and with the next, and the place of their set.
-
-    Sizes of linked sets differ by a factor of den / num at most, so classes of that width differ by one at most.
-    """
-    if not sets:
+class Sets:
+    """The distinct shingle hashes of a group's documents, document after document."""
+
+    def __init__(self, w: Words, k: int):
+        at = w.valid(k)
+        g, doc = gram_hashes(w.h, k, 2)[at] >> np.uint64(1), w.doc[at]
+        few = [i for i, (s, e) in enumerate(zip(w.starts, w.ends, strict=True)) if 0 < e - s < k]
+        if few:
+            g = np.concatenate([g, *[shingles(w.h[w.starts[i] : w.ends[i]], k) for i in few]])
+            doc = np.concatenate([doc, few])
+        order = np.lexsort((g, doc))
+        g, doc = g[order], doc[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+        self.ids, self.g, doc = w.ids, g[new], doc[new]
+        self.ends = np.searchsorted(doc, np.arange(len(w.ids)), "right")
+        self.starts = np.append(0, self.ends[:-1]) if len(w.ids) else self.ends
+
+    def of(self, i: int) -> np.ndarray:
+        return self.g[self.starts[i] : self.ends[i]]
+
+    def digests(self) -> list[bytes | None]:
+        return [xxhash.xxh3_128_digest(self.g[s:e].tobytes()) if e > s else None for s, e in zip(self.starts, self.ends, strict=True)]
+
+    def distinct(self) -> np.ndarray:
+        """Places of the first, so smallest, document of each distinct set that isn't empty."""
+        seen: dict[bytes, int] = {}
+        for i, d in enumerate(self.digests()):
+            if d is not None:
+                seen.setdefault(d, i)
+        return np.array(sorted(seen.values()), np.int64)
+
+
+def _slots(c: np.ndarray, num: int, den: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs whose larger set is in class c: how many shingles the two may differ in at most, and the slots used."""
+    largest = np.ceil(np.exp((c + 1) * width))
+    differ = np.floor((den - num) / num * largest + 1e-9).astype(np.int64)
+    return differ, np.where(differ > 0, differ + 1 + np.ceil(0.1 * differ).astype(np.int64), 1)
+
+
+def _keys(sets: Sets, places: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which the sets at these places look for their regions, and the place in `places` of each."""
+    if not len(places):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    n = sets.ends[places] - sets.starts[places]
+    g = np.concatenate([sets.of(i) for i in places])
+    own = np.repeat(np.arange(len(places)), n)
     width = np.log(den / num) * (1 + 1e-9)
-    keys = []
-    for s in sets:
-        k, c = s[: len(s) - -(-num * len(s) // den) + 1], int(np.log(len(s)) / width)
-        keys += [_mix(k ^ np.uint64(c << 40)), _mix(k ^ np.uint64((c + 1) << 40))]
-    return np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(a) + len(b) for a, b in zip(keys[::2], keys[1::2], strict=True)])
+    size = (np.log(n) / width).astype(np.int64)
+    h = _mix(g ^ np.uint64(0x5851F42D4C957F2D))
+    keys, owners = [], []
+    for step in (0, 1):  # as the larger of a pair, or as the smaller of one whose larger set is in the next class
+        c = size + step
+        differ, slots = _slots(c, num, den, width)
+        slot = (h >> np.uint64(32)) % slots[own].astype(np.uint64)
+        cell = own * (int(slots.max()) + 1) + slot.astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        first, _ = runs(cell[order])
+        total = np.add.reduceat(h[order], first)
+        mark = (c[own[order[first]]].astype(np.uint64) << np.uint64(48)) ^ (slot[order[first]] << np.uint64(16))
+        keys.append(_mix(_mix(total) ^ mark))
+        owners.append(own[order[first]])
+        filled = np.bincount(owners[-1], minlength=len(places))
+        for i in np.flatnonzero(filled <= differ).tolist():
+            p = sets.of(places[i])
+            p = p[: len(p) - -(-num * len(p) // den) + 1]
+            keys.append(_mix(p ^ np.uint64((int(c[i]) << 48) ^ 0xABCD)))
+            owners.append(np.full(len(p), i))
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def _short(s: np.ndarray) -> bytes:
@@ -163,48 +188,30 @@ def link_region(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
     return [(int(ids[x]), int(ids[root(x)])) for x in range(m) if root(x) != x]
 
 
-def _frequent(docs: DataFrame, k: int, total: int) -> np.ndarray:
-    """Sorted hashes of shingles that at least three sampled documents have."""
-    part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
-    d = ranged_scan(docs, "doc_id", "text").filter(F.col("text").isNotNull() & (part < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, 4 << 20):
-            sets = [shingles(hash_words(WORD.findall(lower_ascii(t))), k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["s"])
-
-    rows = d.mapInArrow(run, "s long").groupBy("s").count().filter("count >= 3").orderBy(F.desc("count"), "s").limit(FREQUENT)
-    return np.sort(np.array([r[0] for r in rows.select("s").collect()], np.int64).view(np.uint64))
-
-
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
     """id, n, set: every document's number of shingles and the digest of its set; stored. A null id is LAST."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, 16 << 20):
-            n, digest = [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(hash_words(WORD.findall(lower_ascii(t))), k) if t else ()
-                n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "set"])
+        for b in batches_of(it, 4 << 20):
+            s = Sets(Words(pa.Table.from_batches([b]), WORD, True), k)
+            yield pa.RecordBatch.from_arrays([pa.array(s.ids, pa.int64()), pa.array(s.ends - s.starts, pa.int64()), pa.array(s.digests(), pa.binary())], ["id", "n", "set"])
 
     d = ranged_scan(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
     return stored(d.mapInArrow(run, "id long, n long, set binary"))
 
 
-def link_edges(docs: DataFrame, k: int, num: int, den: int, total: int) -> DataFrame:
+def link_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b: edges between ids that span the components of the link graph over distinct sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, total))
     d = grouped(docs)
     _, buckets = sizes(docs)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
-        ids, sets = _distinct_sets(Words(t, WORD, True), k, shared.value)
-        keys, at = _prefixes(sets, num, den)
+        sets = Sets(Words(t, WORD, True), k)
+        places = sets.distinct()
+        keys, at = _keys(sets, places, num, den)
         order = np.argsort(keys, kind="stable")  # ids ascend, so the first holder of a key is the smallest
         first, _ = runs(keys[order])
-        return pack(key[0].as_py(), buckets, keys[order][first], ids[at[order[first]]])
+        return pack(key[0].as_py(), buckets, keys[order][first], sets.ids[places[at[order[first]]]])
 
     def pivots(keys: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple:
         if not len(keys):
@@ -213,8 +220,12 @@ def link_edges(docs: DataFrame, k: int, num: int, den: int, total: int) -> DataF
         return np.diff(np.append(first, len(keys)))[number] > 1, np.minimum.reduceat(ids, first)[number]
 
     def assign(key: tuple, t: pa.Table, known: pa.Table) -> pa.Table:
-        ids, sets = _distinct_sets(Words(t, WORD, True), k, shared.value) if t.num_rows else (np.empty(0, np.int64), [])
-        keys, at = _prefixes(sets, num, den)
+        if not t.num_rows:
+            return DEALT.empty_table()
+        sets = Sets(Words(t, WORD, True), k)
+        places = sets.distinct()
+        ids = sets.ids[places]
+        keys, at = _keys(sets, places, num, den)
         order = np.argsort(keys, kind="stable")
         first, number = runs(keys[order])
         pivot = ids[at[order[first]]]
@@ -234,9 +245,9 @@ def link_edges(docs: DataFrame, k: int, num: int, den: int, total: int) -> DataF
             out["b"].append(b)
             out["pivot"].append(planes(mine[:, 0]))
             out["id"].append(planes(ids[mine[:, 1]]))
-            out["n"].append(np.array([len(sets[i]) for i in mine[:, 1]], np.int32).tobytes())
-            out["sets"].append(b"".join(_short(sets[i]) for i in mine[:, 1]))
-        return pa.table({"b": pa.array(out["b"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("pivot", "id", "n", "sets")}})
+            out["n"].append((sets.ends - sets.starts)[places[mine[:, 1]]].astype(np.int32).tobytes())
+            out["sets"].append(b"".join(_short(sets.of(i)) for i in places[mine[:, 1]]))
+        return pa.table({c: pa.array(out[c], DEALT.field(c).type) for c in DEALT.names})
 
     def regions(t: pa.Table) -> pa.Table:
         pivot, ids, sets = [], [], []
@@ -273,7 +284,7 @@ def duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     and share a component. A null id counts as larger than all others; its component is null unless it reaches an id.
     """
     sets = document_sets(docs, k)
-    roots = connected_components(link_edges(docs, k, num, den, sets.count()))
+    roots = connected_components(link_edges(docs, k, num, den))
     least = sets.filter("n > 0").groupBy("set").agg(F.min("id").alias("own"))
     least = least.join(roots, least["own"] == roots["node"], "left").select("set", F.coalesce("root", "own").alias("c"))
     out = sets.join(least, "set", "left").select("id", "n", F.coalesce("c", "id").alias("c"))
