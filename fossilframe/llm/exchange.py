@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from fossilframe.llm.common import WORD, hash_words, lower_ascii, ranged_scan
 
+#: Hashes that only propose candidates travel as 48 bits: a chance agreement costs work, never a wrong result.
+SHORT = np.uint64(2**64 - 2**16)
 #: Stands for a null id: after all others.
 LAST = 2**63 - 1
 PRIME, FACTOR = 2_147_483_647, 48_271
@@ -64,7 +66,7 @@ def pack(g: int, buckets: int, keys: np.ndarray, aux: np.ndarray | None = None)
         {
             "b": pa.array(b[starts] if len(b) else [], pa.int32()),
             "g": pa.array([g] * len(starts), pa.int32()),
-            "keys": pa.array([keys[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
+            "keys": pa.array([planes(keys[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()),
             "aux": pa.array([planes(aux[s:e]) if aux is not None else b"" for s, e in zip(starts, ends, strict=True)], pa.binary()),
         }
     )
@@ -75,7 +77,7 @@ def meet(entries: DataFrame, decide: Callable) -> DataFrame:
     number (None if there are none); it returns which entries to answer and the numbers to send along (or None)."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+        keys = [unplanes(x, np.uint64) for x in t.column("keys").to_pylist()]
         aux = [unplanes(x) for x in t.column("aux").to_pylist()]
         gs = t.column("g").to_numpy()
         row = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
@@ -94,7 +96,7 @@ def meet(entries: DataFrame, decide: Callable) -> DataFrame:
         return pa.table(
             {
                 "g": pa.array(gs[row[starts]] if len(row) else [], pa.int32()),
-                "keys": pa.array([k[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
+                "keys": pa.array([planes(k[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()),
                 "aux": pa.array([planes(number[s:e]) if number is not None else b"" for s, e in zip(starts, ends, strict=True)], pa.binary()),
             }
         )
@@ -112,7 +114,7 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def answers(t: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
     """A group's answered keys, sorted, and their numbers."""
-    keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+    keys = [unplanes(x, np.uint64) for x in t.column("keys").to_pylist()]
     aux = [unplanes(x) for x in t.column("aux").to_pylist() if x]
     k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
     order = np.argsort(k)

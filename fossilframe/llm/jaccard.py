@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fossilframe.llm.common import WORD, _mix, batches_of, gram_hashes, ranged_scan, stored
 from fossilframe.llm.components import connected_components
-from fossilframe.llm.exchange import LAST, PACKED, Words, answers, grouped, meet, pack, planes, runs, sizes, unplanes
+from fossilframe.llm.exchange import LAST, PACKED, SHORT, Words, answers, grouped, meet, pack, planes, runs, sizes, unplanes
 
 DEALT = pa.schema([("b", pa.int32()), ("pivot", pa.binary()), ("id", pa.binary()), ("n", pa.binary()), ("sets", pa.binary())])
 
@@ -112,7 +112,7 @@ def _keys(sets: Sets, places: np.ndarray, num: int, den: int) -> tuple[np.ndarra
             p = p[: len(p) - -(-num * len(p) // den) + 1]
             keys.append(_mix(p ^ np.uint64((int(c[i]) << 48) ^ 0xABCD)))
             owners.append(np.full(len(p), i))
-    return np.concatenate(keys), np.concatenate(owners)
+    return np.concatenate(keys) & SHORT, np.concatenate(owners)
 
 
 def _short(s: np.ndarray) -> bytes:

@@ -10,7 +10,7 @@ The blocks are the groups of `exchange`; their index is dealt by hash, in two st
    asks which of its distinct anchors (about one for five windows) any other group holds.
 2. For windows at such anchors alone, it asks whether another group has the window in a document with a smaller id.
 Windows of documents in one group are compared there. Hashes of 64 bits stand for anchors and windows; two different
-windows are taken for equal only if both hashes agree.
+windows are taken for equal only if both hashes agree (48 bits of the anchor's).
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fossilframe.llm.common import gram_hashes
-from fossilframe.llm.exchange import LAST, PACKED, Words, answers, grouped, meet, member, pack, runs, sizes
+from fossilframe.llm.exchange import LAST, PACKED, SHORT, Words, answers, grouped, meet, member, pack, runs, sizes
 
 WINDOW, ANCHOR = 13, 5
 
 
 def anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """For each run of `window` words the smallest hash of its runs of `anchor` words."""
+    """For each run of `window` words the smallest hash, cut short, of its runs of `anchor` words."""
     g = gram_hashes(h, anchor, 1)
     n = len(h) - window + 1
     if n <= 0:
@@ -37,7 +37,7 @@ def anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     out = g[:n].copy()
     for j in range(1, window - anchor + 1):
         np.minimum(out, g[j : j + n], out=out)
-    return out
+    return out & SHORT
 
 
 def factors(dup: np.ndarray, window: int) -> list[tuple[int, int]]:
