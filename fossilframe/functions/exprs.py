@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,14 +75,6 @@ def distance(metric: str, a: Column, b: Column) -> Column:
 METRICS = ("euclidean", "cityblock", "bray_curtis", "cosine", "jaccard", "canberra", "correlation", "hamming")
 
 
-def blocked_pairs(df: DataFrame, id_col: str, blocks: int = 8, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
-    """Each unordered pair of rows once, by an equi-join of blocks: no nested-loop join, and a task holds two blocks."""
-    b = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    left = df.select(*[F.col(c).alias(c + suffixes[0]) for c in df.columns], b.alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = df.select(*[F.col(c).alias(c + suffixes[1]) for c in df.columns], b.alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.join(right, ["p", "q"]).filter(F.col(id_col + suffixes[0]) < F.col(id_col + suffixes[1])).drop("p", "q")
-
-
 def register_functions(spark: SparkSession) -> None:
     """Normal, chi-square, t and F distribution functions for SQL."""
     for name, f, n in (("normal_cdf", special.normal_cdf, 1), ("normal_quantile", special.normal_quantile, 1), ("chi2_cdf", special.chi2_cdf, 2), ("t_cdf", special.t_cdf, 2), ("f_cdf", special.f_cdf, 3)):

@@ -3,17 +3,75 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.functions.exprs import blocked_pairs, distance
+from fossilframe.functions.exprs import distance
 from fossilframe.operators.multivariate import dense
 
 
-def distance_matrix(df: DataFrame, metric: str = "euclidean", blocks: int = 8) -> DataFrame:
-    """i, j, d for each pair i < j of (id, features)."""
-    d = df.select("id", F.col("features").cast("array<double>").alias("v"))
-    return blocked_pairs(d, "id", blocks).select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), distance(metric, F.col("v_a"), F.col("v_b")).alias("d"))
+def pairwise(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x from all rows of y, with the degenerate cases of functions.exprs.distance."""
+    if metric == "correlation":
+        x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    if metric in ("cosine", "correlation"):
+        norm = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+        return np.where(norm > 0, 1 - x @ y.T / np.where(norm > 0, norm, 1), 1.0)
+    out = np.empty((len(x), len(y)))
+    for i, a in enumerate(x):  # a row against a block: temporaries of the block's size
+        if metric == "euclidean":
+            out[i] = np.sqrt(((a - y) ** 2).sum(1))
+        elif metric == "cityblock":
+            out[i] = np.abs(a - y).sum(1)
+        elif metric == "bray_curtis":
+            base = (a + y).sum(1)
+            out[i] = np.where(base > 0, np.abs(a - y).sum(1) / np.where(base > 0, base, 1), 0.0)
+        elif metric == "canberra":
+            base = np.abs(a) + np.abs(y)
+            out[i] = np.where(base > 0, np.abs(a - y) / np.where(base > 0, base, 1), 0.0).sum(1)
+        elif metric == "jaccard":
+            base = ((a != 0) | (y != 0)).sum(1)
+            out[i] = np.where(base > 0, (a != y).sum(1) / np.where(base > 0, base, 1), 0.0)
+        elif metric == "hamming":
+            out[i] = (a != y).sum(1) / max(1, len(a))
+        else:
+            raise ValueError(f"unknown metric {metric}")
+    return out
+
+
+def distance_matrix(df: DataFrame, metric: str = "euclidean", block: int = 512) -> DataFrame:
+    """i, j, d for each pair i < j of (id, features).
+
+    Rows are gathered into blocks of about `block` by a hash of the id; pairs of blocks meet by an equi-join, and each
+    pair is one matrix computation: a task holds two blocks, and no pair of rows is shuffled.
+    """
+    metric = {"braycurtis": "bray_curtis"}.get(metric, metric)
+    pairwise(metric, np.ones((1, 2)), np.ones((1, 2)))  # an unknown metric fails here
+    kind = df.schema["id"].dataType.simpleString()
+    k = max(1, -(-df.count() // block))
+    g = df.select("id", F.col("features").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(k)).alias("b")).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    ids, flat = F.transform("r", lambda r: r["id"]), F.flatten(F.transform("r", lambda r: r["v"]))
+    left = g.select(F.col("b").alias("p"), ids.alias("xi"), flat.alias("x")).withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(k - 1))))
+    right = g.select(F.col("b").alias("q"), ids.alias("yi"), flat.alias("y"))
+
+    def run(it):
+        for t in it:
+            for row in range(t.num_rows):
+                (xi, yi), same = (t.column(c)[row].values for c in ("xi", "yi")), t.column("p")[row] == t.column("q")[row]
+                xi, yi = (np.array(v.to_pylist()) if pa.types.is_string(v.type) else v.to_numpy(zero_copy_only=False) for v in (xi, yi))
+                x, y = (t.column(c)[row].values.to_numpy(zero_copy_only=False).reshape(len(n), -1) for c, n in (("x", xi), ("y", yi)))
+                d = pairwise(metric, x, y)
+                use = (xi[:, None] < yi) if same else np.ones(d.shape, bool)
+                a, b = np.nonzero(use)
+                i, j, d = xi[a], yi[b], d[a, b]
+                swap = i > j
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                for s in range(0, max(1, len(d)), 200_000):
+                    e = s + 200_000
+                    yield pa.RecordBatch.from_arrays([pa.array(i[s:e]), pa.array(j[s:e]), pa.array(d[s:e], pa.float64())], ["i", "j", "d"])
+
+    return left.join(right, "q").select("p", "q", "xi", "yi", "x", "y").mapInArrow(run, f"i {kind}, j {kind}, d double")
 
 
 def cross_distances(left: DataFrame, right: DataFrame, metric: str = "euclidean") -> DataFrame:

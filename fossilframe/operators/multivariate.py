@@ -89,15 +89,19 @@ def pca(df: DataFrame, components: int | None = None, matrix: str = "covariance"
 
 def dense(distances: DataFrame, limit: int = 5000) -> tuple[list, np.ndarray]:
     """Ids and the square matrix of (i, j, d). A dense matrix is needed for eigenproblems and linkage, so n is bounded."""
-    rows = [tuple(r) for r in distances.select("i", "j", "d").collect()] if distances.count() <= limit * (limit - 1) // 2 else None
-    if rows is None:
-        raise ValueError(f"more than {limit} objects")
-    ids = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    at = {x: k for k, x in enumerate(ids)}
+    d = distances.select("i", "j", "d").persist()
+    try:
+        if d.count() > limit * (limit - 1) // 2:
+            raise ValueError(f"more than {limit} objects")
+        t = d.toArrow()
+    finally:
+        d.unpersist()
+    i, j = (np.array(t.column(c).to_pylist()) if t.schema.field(c).type == "string" else t.column(c).to_numpy() for c in ("i", "j"))
+    ids = np.unique(np.concatenate([i, j]))
     m = np.zeros((len(ids), len(ids)))
-    for i, j, d in rows:
-        m[at[i], at[j]] = m[at[j], at[i]] = d
-    return ids, m
+    a, b = np.searchsorted(ids, i), np.searchsorted(ids, j)
+    m[a, b] = m[b, a] = t.column("d").to_numpy()
+    return ids.tolist(), m
 
 
 def pcoa(distances: DataFrame, components: int | None = None) -> dict[str, DataFrame]:
@@ -295,12 +299,12 @@ def convex_hull(points: DataFrame) -> DataFrame:
 
 def disparity(df: DataFrame) -> DataFrame:
     """sum_variance (mean squared distance to the centroid), pairwise_variance, ranges; through moments and pairs."""
-    from fossilframe.functions.exprs import blocked_pairs, distance
+    from fossilframe.operators.clustering import distance_matrix
 
     n, s, c = moments(df)[""]
     mean = s / n
     spread = float(np.trace(c) / n - mean @ mean)
-    pairs = blocked_pairs(df.select("id", F.col("features").cast("array<double>").alias("v")), "id").select(distance("euclidean", F.col("v_a"), F.col("v_b")).alias("d"))
+    pairs = distance_matrix(df)
     ranges = df.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg((F.max("v") - F.min("v")).cast("double").alias("r")).agg(F.sum("r").alias("range_sum"))
     return pairs.agg(F.lit(spread).alias("centroid_ms"), F.var_pop("d").alias("pairwise_variance"), F.avg("d").alias("pairwise_mean")).crossJoin(ranges)
 
