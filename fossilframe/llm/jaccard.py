@@ -33,6 +33,7 @@ from fossilframe.llm.common import WORD, _mix, batches_of, gram_hashes, ranged_s
 from fossilframe.llm.components import connected_components
 from fossilframe.llm.exchange import LAST, PACKED, SHORT, Words, answers, grouped, meet, pack, planes, runs, sizes, unplanes
 
+HOT_SETS = 1000
 DEALT = pa.schema([("b", pa.int32()), ("pivot", pa.binary()), ("id", pa.binary()), ("n", pa.binary()), ("sets", pa.binary())])
 
 
@@ -285,9 +286,13 @@ def duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     """
     sets = document_sets(docs, k)
     roots = connected_components(link_edges(docs, k, num, den))
-    least = sets.filter("n > 0").groupBy("set").agg(F.min("id").alias("own"))
-    least = least.join(roots, least["own"] == roots["node"], "left").select("set", F.coalesce("root", "own").alias("c"))
-    out = sets.join(least, "set", "left").select("id", "n", F.coalesce("c", "id").alias("c"))
+    least = sets.filter("n > 0").groupBy("set").agg(F.min("id").alias("own"), F.count("*").alias("copies"))
+    least = stored(least.join(roots, least["own"] == roots["node"], "left").select("set", F.coalesce("root", "own").alias("c"), "copies"))
+    # Sets with more than a thousandth of the rows are fewer than a thousand: they are broadcast, so no task gets all copies.
+    often = F.col("copies") > max(1, sets.count() // HOT_SETS)
+    d = sets.join(F.broadcast(least.filter(often).select("set", F.col("c").alias("hot"))), "set", "left")
+    rest = d.filter("hot IS NULL").join(least.filter(~often).select("set", "c"), "set", "left")
+    out = rest.select("id", "n", F.coalesce("c", "id").alias("c")).unionByName(d.filter("hot IS NOT NULL").select("id", "n", F.col("hot").alias("c")))
     return out.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("c", F.lit(LAST)).alias("component_id"))
 
 
