@@ -264,6 +264,19 @@ def test_language_model(spark, docs, rows):
             assert got[i]["difference"] == pytest.approx(losses["t"] - losses["b"], abs=1e-6)
 
 
+def test_language_model_counts_real_words(spark):
+    texts = [" ".join(f"w{i * 5000 + k}" for k in range(5000)) for i in range(40)]  # 200,000 words, each bigram once
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2"), (None, None)], "doc_id long, text string").repartition(3)
+    got = language_model.score_documents(made, spark.createDataFrame([(0,), (1,)], "doc_id long")).collect()
+    assert len(got) == 42 and all(r["target_loss"] > 0 and r["background_loss"] > 0 for r in got if r["n_tokens"])
+    n, m, v, mu = 10_000, 200_002, 200_000, language_model.MU
+    s, want = n / m, 0.0
+    for k in range(5000):
+        c, h = (s, s * (40 if k == 0 else 1))
+        want -= math.log2((c + mu * (s + 1) / (n + v)) / (h + mu)) / 5000
+    assert next(r for r in got if r["doc_id"] == 5)["background_loss"] == pytest.approx(want, abs=2e-3)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
