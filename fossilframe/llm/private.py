@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, with Spark expressions only.
 
 Seeds are the spans of four fixed patterns (email, ip, card, phone). Every seed and every identifier-like token (a run
-of 8 to 64 ASCII letters and digits with a digit in it) is a mention; the one or two words left of it are its lexical
+of 8 or more ASCII letters and digits with a digit in it) is a mention; the one or two words left of it are its lexical
 patterns. Mentions make a graph of patterns and instances (the mentions' strings). In rounds, a pattern's confidence is
 the share of its instances' scores, damped for patterns with few instances, and an instance's score is that of its best
 pattern; seeds keep 1. Patterns that end with high confidence over enough distinct instances discover: the
@@ -26,26 +26,36 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,64}+(?![A-Za-z0-9])"
+TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+(?![A-Za-z0-9])"
 KINDS = (*PATTERNS, "id")
 ROUNDS, CONFIDENCE, SUPPORT, DAMPING = 3, 0.75, 5, 1.0
-#: Characters of text kept on the left of a mention, to read its patterns from.
-CONTEXT = 96
-SPAN = "struct<s:int,e:int,m:string,l:string>"
+#: Characters looked at first for the two words on the left of a mention; where they do not hold both, all of the text is.
+NEAR = 200
+SPAN = "struct<s:int,e:int,m:string>"
+TWO = r"\S++\s++\S++\s*+\z"
 
 
 def located(d: DataFrame, pattern: str, needs: str | None, out: str) -> DataFrame:
-    """Adds `out`: array of (start, end, match, text to the left) of the pattern's matches in column `text`."""
+    """Adds `out`: array of (start, end, match) of the pattern's matches in column `text`."""
     lit = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     guard = f"contains(text, '{needs}')" if needs else "true"
     d = d.withColumn("_m", F.expr(f"CASE WHEN {guard} THEN regexp_extract_all(text, {lit}, 0) END"))
     d = d.withColumn("_p", F.expr(f"CASE WHEN size(_m) > 0 THEN split(text, {lit}, -1) END"))
-    span = f"named_struct('s', a.at + length(_p[i]), 'e', a.at + length(_p[i]) + length(_m[i]), 'm', _m[i], 'l', right(_p[i], {CONTEXT}))"
+    span = f"named_struct('s', a.at + length(_p[i]), 'e', a.at + length(_p[i]) + length(_m[i]), 'm', _m[i])"
     step = f"(a, i) -> named_struct('at', a.at + length(_p[i]) + length(_m[i]), 'out', array_append(a.out, {span}))"
     all_of = f"aggregate(sequence(0, size(_m) - 1), named_struct('at', 0, 'out', CAST(array() AS array<{SPAN}>)), {step}, a -> a.out)"
     return d.withColumn(out, F.expr(f"CASE WHEN size(_m) > 0 THEN {all_of} ELSE CAST(array() AS array<{SPAN}>) END")).drop("_m", "_p")
 
 
+def with_left(kind: str) -> str:
+    """The spans of a kind, each with the last two words before it (all of the text before, where there are fewer)."""
+    two = TWO.replace("\\", "\\\\")
+    near = f"regexp_extract(substr(text, greatest(1, x.s - {NEAR - 1}), least(x.s, {NEAR})), '\\\\s({two})', 1)"
+    whole = f"regexp_extract(substr(text, 1, x.s), '(?<!\\\\S)({two})', 1)"
+    left = f"CASE WHEN x.s = 0 THEN '' WHEN {near} <> '' THEN {near} WHEN {whole} <> '' THEN {whole} ELSE substr(text, 1, x.s) END"
+    return f"transform({kind}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'l', {left}))"
+
+
 def _valid(kind: str) -> str:
     digits = "regexp_replace(x.m, '[^0-9]', '')"
     if kind == "ip":
@@ -68,7 +78,8 @@ def base_spans(d: DataFrame) -> DataFrame:
         d = d.withColumn(kind, F.expr(f"filter({kind}, x -> {_valid(kind)})"))
     d = located(d, TOKEN, None, "token")
     base = f"concat({', '.join(PATTERNS)})"
-    return d.withColumn("token", F.expr(f"CASE WHEN size(token) > 0 THEN filter(token, t -> NOT exists({base}, x -> x.s < t.e AND t.s < x.e)) ELSE token END"))
+    d = d.withColumn("token", F.expr(f"CASE WHEN size(token) > 0 THEN filter(token, t -> NOT exists({base}, x -> x.s < t.e AND t.s < x.e)) ELSE token END"))
+    return d.withColumns({k: F.expr(with_left(k)) for k in (*PATTERNS, "token")})
 
 
 def mentions(found: DataFrame) -> DataFrame:

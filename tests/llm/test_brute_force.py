@@ -328,6 +328,22 @@ def test_private_bootstraps(spark):
     assert masked[100] == "please pay with card [CARD] now" and masked[202] == "pay with card lettersonly"
 
 
+def test_private_left_words(spark):
+    rnd = random.Random(4)
+    bits = ["AB12CD34", "EF56GH78", "10.1.2.3", "a@b.cc", "99 12", "w" * 250, "ids:", "é", "AB12" * 20, "x"]
+    texts = ["ids: AB12CD34 EF56GH78 IJ90KL12", "AB12CD34", "a AB12CD34", f"{'w' * 300} {'v' * 300} AB12CD34", "key " + "AB12" * 20]
+    texts += ["".join(rnd.choice(bits) + rnd.choice([" ", "  ", "\n", ", "]) for _ in range(12)) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    got = {}
+    for r in private.mentions(private.base_spans(d)).collect():
+        got.setdefault((r["uid"], r["s"], r["e"]), set()).add(r["pattern"])
+    for uid, text in enumerate(texts):
+        for m in re.finditer(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])[A-Za-z0-9]{8,}(?![A-Za-z0-9])", text):
+            left = text[: m.start()].lower()
+            want = {re.sub(r"\s+", " ", x.group()) for p in (r"\S+\s*$", r"\S+\s+\S+\s*$") if (x := re.search(p, left))}
+            assert got.get((uid, m.start(), m.end()), set()) == want, (text, m)
+
+
 def test_passages(docs, rows):
     got = found(passages.digest_removed(docs))
     words = {i: WORD.findall(t) for i, t, _ in rows}
