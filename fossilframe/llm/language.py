@@ -5,10 +5,10 @@ frozen. A byte is coded in the longest context of the tree; where that context h
 probable as the context has distinct successors) leads to the next shorter one, at last to 256 equal bytes. The language
 whose tree gives the whole text the shortest code is the prediction.
 
-With frozen statistics the code length of a byte depends on the context node alone, so all code lengths are worked out
-once: `node` maps the last ORDER bytes to the longest context that any tree holds, `bits` gives the cost of each byte
-there in each language. A text is then scored by two array lookups a byte. Bytes that no sample has seen share one
-symbol, whose cost is that of any one of them.
+With frozen statistics the code length of a byte depends on the run of ORDER + 1 bytes that it ends alone. Each language
+keeps its whole tree as sorted arrays (`Tree`), so that neither the number of languages nor the bytes they use take
+contexts from one another. A block of texts is scored by its distinct runs: their code lengths are worked out once a
+language, then summed over the texts' places.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from fossilframe.llm.common import batches_of, ranged_scan
 ORDER = 3
 #: Sampled labelled documents for each language, at most about.
 SAMPLE = 1500
-#: Contexts held, over all languages; the rarest of the highest order go first.
-MAX_NODES = 40_000
-MAX_BYTES = 64 << 20
+#: Bytes of text that are scored together, about.
+BLOCK = 4 << 20
 LETTER = re.compile(r"[^\W\d_]")
 START = b"\n"
 
@@ -38,50 +37,62 @@ def text_bytes(text: str) -> bytes:
     return START + text.lower().encode("utf-8", "replace")
 
 
+def coded(b: bytes, order: int) -> np.ndarray:
+    """Runs of order + 1 bytes as numbers, the first byte highest."""
+    x = np.frombuffer(b, np.uint8).astype(np.uint64)
+    n = max(0, len(x) - order)
+    code = np.zeros(n, np.uint64)
+    for d in range(order + 1):
+        code = (code << np.uint64(8)) | x[d : d + n]
+    return code
+
+
+def low(order: int) -> np.uint64:
+    return np.uint64((1 << 8 * order) - 1)
+
+
+class Tree:
+    """One language's tree: for each order the runs seen with their bits, and the contexts with the bits of their escape."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
+        """codes: distinct runs of order + 1 bytes as numbers; counts: how often each occurs."""
+        self.levels = []
+        for k in range(order, -1, -1):
+            runs, at = np.unique(codes & low(k + 1), return_inverse=True)
+            n = np.bincount(at, counts, len(runs))
+            contexts, at, distinct = np.unique(runs >> np.uint64(8), return_inverse=True, return_counts=True)
+            whole = np.bincount(at, n, len(contexts)) + distinct
+            self.levels.append((k, runs, np.log2(whole[at] / n), contexts, np.log2(whole / distinct)))
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run."""
+        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
+        for k, runs, cost, contexts, escape in self.levels:
+            for keys, values, wanted in ((runs, cost, codes[open_] & low(k + 1)), (contexts, escape, None)):
+                if wanted is None:
+                    wanted = (codes[open_] & low(k + 1)) >> np.uint64(8)
+                at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+                hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                out[open_[hit]] += values[at[hit]]
+                if keys is runs:
+                    open_ = open_[~hit]
+        out[open_] += 8
+        return out
+
+
 class Model:
-    """Frozen code lengths of all languages."""
+    """Frozen trees of all languages."""
 
-    def __init__(self, counts: dict[str, dict[bytes, int]], order: int = ORDER, max_nodes: int = MAX_NODES):
-        """counts: for each language, how often each run of order + 1 bytes (shorter at the start of a text) occurs."""
+    def __init__(self, counts: dict[str, dict[bytes, int] | tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        """counts: for each language, how often each run of order + 1 bytes occurs: by run, or runs as numbers and counts."""
         self.languages = sorted(counts)
         self.order = order
-        trees = [self._tree(counts[x], order) for x in self.languages]
-        seen = sorted({c for g in counts.values() for x in g for c in x})
-        self.alphabet = len(seen) + 1  # the last symbol stands for any unseen byte
-        self.symbol = np.full(256, len(seen), np.uint8 if len(seen) < 255 else np.uint16)
-        self.symbol[seen] = range(len(seen))
-        total: dict[bytes, int] = {}
-        for t in trees:
-            for ctx, nxt in t.items():
-                total[ctx] = total.get(ctx, 0) + sum(nxt.values())
-        max_nodes = min(max_nodes, MAX_BYTES // (4 * self.alphabet * max(1, len(trees))))
-        held = sorted(total, key=lambda c: (len(c) == order, -total[c], c))[:max_nodes]
-        held.sort(key=lambda c: (len(c), c))
-        at = {c: i for i, c in enumerate(held)}
-        a, n, k = self.alphabet, len(held), len(self.languages)
-        self.bits = np.zeros((n, a, k), np.float32)
-        uniform = math.log2(256)
-        for j, t in enumerate(trees):
-            for ctx in held:
-                i = at[ctx]
-                shorter = self.bits[at[ctx[1:]], :, j] if ctx else np.full(a, uniform, np.float32)
-                nxt = t.get(ctx)
-                if not nxt:
-                    self.bits[i, :, j] = shorter
-                    continue
-                whole = sum(nxt.values()) + len(nxt)
-                row = shorter + math.log2(whole / len(nxt))
-                for c, m in nxt.items():
-                    row[self.symbol[c]] = math.log2(whole / m)
-                self.bits[i, :, j] = row
-        # the longest context held, for each run of `order` symbols
-        self.node = np.zeros(a**order, np.int32)
-        shape = self.node.reshape((a,) * order)
-        for ctx in held:
-            s = tuple(int(self.symbol[c]) for c in ctx)
-            if len(s) <= order and ctx:
-                shape[(slice(None),) * (order - len(s)) + s] = at[ctx]
-        self.bits = self.bits.reshape(n * a, k)
+        self.trees = []
+        for x in self.languages:
+            c = counts[x]
+            if isinstance(c, dict):
+                c = np.array([int.from_bytes(g, "big") for g in c], np.uint64), np.array(list(c.values()), np.int64)
+            self.trees.append(Tree(*c, order))
 
     @staticmethod
     def _tree(grams: dict[bytes, int], order: int) -> dict[bytes, dict[int, int]]:
@@ -92,26 +103,53 @@ class Model:
                 nxt[g[-1]] = nxt.get(g[-1], 0) + m
         return tree
 
+    def all_lengths(self, texts: list[str]) -> np.ndarray:
+        """Bits that each language's tree needs for each text."""
+        out = np.zeros((len(texts), len(self.languages)))
+        codes, owners, size = [], [], 0
+        for i, t in enumerate(texts):
+            # the bytes before a text are its start mark
+            b = START * (self.order - 1) + text_bytes(t) if self.order else text_bytes(t)[1:]
+            for begin in range(0, max(1, len(b) - self.order), BLOCK):  # bounded memory for very long texts
+                c = coded(b[begin : begin + BLOCK + self.order], self.order)
+                if len(c):
+                    codes.append(c)
+                    owners.append(i)
+                    size += len(c)
+                if size >= BLOCK:
+                    self._add(out, codes, owners)
+                    codes, owners, size = [], [], 0
+        self._add(out, codes, owners)
+        return out
+
+    def _add(self, out: np.ndarray, codes: list[np.ndarray], owners: list[int]) -> None:
+        if not codes:
+            return
+        all_ = np.concatenate(codes)
+        distinct = np.unique(all_)
+        at = np.searchsorted(distinct, all_)
+        starts = np.cumsum([0, *map(len, codes[:-1])])
+        for j, tree in enumerate(self.trees):
+            np.add.at(out[:, j], owners, np.add.reduceat(tree.bits(distinct)[at], starts))
+
     def lengths(self, text: str) -> np.ndarray:
         """Bits that each language's tree needs for the text."""
-        s = self.symbol[np.frombuffer(text_bytes(text), np.uint8)].astype(np.int64)
-        a, out = self.alphabet, np.zeros(len(self.languages))
-        for begin in range(1, len(s), 1 << 20):  # bounded memory for very long texts
-            end = min(len(s), begin + (1 << 20))
-            ctx = np.zeros(end - begin, np.int64)
-            for d in range(self.order, 0, -1):
-                ctx *= a
-                ctx += s[np.maximum(np.arange(begin - d, end - d), 0)]
-            out += self.bits[self.node[ctx] * np.int64(a) + s[begin:end]].sum(0, dtype=np.float64)
-        return out
+        return self.all_lengths([text])[0]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its posterior probability under equal priors; `und` and 0 without a letter or without languages."""
-        if not text or not self.languages or not LETTER.search(text):
-            return "und", 0.0
-        bits = self.lengths(text)
-        best = int(bits.argmin())
-        return self.languages[best], float(1 / np.exp2(np.clip(bits[best] - bits, -1000, 0)).sum())
+        got: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        some = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        if some:
+            bits = self.all_lengths([texts[i] for i in some])
+            best = bits.argmin(1)
+            score = 1 / np.exp2(np.clip(bits.min(1)[:, None] - bits, -1000, 0)).sum(1)
+            for i, k, p in zip(some, best.tolist(), score.tolist(), strict=True):
+                got[i] = (self.languages[k], p)
+        return got
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
 
 
 def gram_counts(texts: Iterator[str], order: int = ORDER) -> dict[bytes, int]:
@@ -119,13 +157,7 @@ def gram_counts(texts: Iterator[str], order: int = ORDER) -> dict[bytes, int]:
     total: dict[bytes, int] = {}
     for t in texts:
         b = START * (order - 1) + text_bytes(t)
-        x = np.frombuffer(b, np.uint8).astype(np.uint64)
-        n = len(x) - order
-        if n <= 0:
-            continue
-        code = np.zeros(n, np.uint64)
-        for d in range(order + 1):
-            code = (code << np.uint64(8)) | x[d : d + n]
+        code = coded(b, order)
         for c, m in zip(*(v.tolist() for v in np.unique(code, return_counts=True)), strict=True):
             total[c] = total.get(c, 0) + m
     return {c.to_bytes(order + 1, "big"): m for c, m in total.items()}
@@ -138,14 +170,15 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
     """A model from about `sample` documents of each language (all, where there are fewer) that are not held out and have a label.
 
-    The sample is that part of the ids' hash range that holds as many documents; it depends on ids alone.
+    Every language that labels a document which is not held out is learned. The sample is that part of the ids' hash range that holds as many documents; it depends on ids alone.
     """
     d = ranged_scan(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, sample / n) * (1 << 30)))]) if counts else None
-    if limit is None:
+    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    if not counts:
         return Model({}, order)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    limits = d.sparkSession.createDataFrame([(k, int(min(1.0, sample / n) * (1 << 30))) for k, n in counts.items()], "lang string, most long")
+    d = d.join(F.broadcast(limits), "lang")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[bytes, int]] = {}
@@ -155,20 +188,20 @@ def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
                 for g, m in gram_counts([text], order).items():
                     mine[g] = mine.get(g, 0) + m
         for lang, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(t)), pa.array(list(t), pa.binary()), pa.array(list(t.values()), pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(t)), pa.array([int.from_bytes(g, "big") for g in t], pa.int64()), pa.array(list(t.values()), pa.int64())], ["lang", "gram", "n"])
 
-    rows = d.filter((part < limit[F.col("lang")]) & F.col("text").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, gram binary, n long")
-    grams: dict[str, dict[bytes, int]] = {}
-    for lang, gram, n in rows.groupBy("lang", "gram").agg(F.sum("n")).toLocalIterator():
-        grams.setdefault(lang, {})[bytes(gram)] = n
-    return Model(grams, order)
+    rows = d.filter((part < F.col("most")) & F.col("text").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    t = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow().combine_chunks()
+    lang, gram, n = t.column("lang").to_pandas().to_numpy(), t.column("gram").to_numpy().astype(np.uint64), t.column("n").to_numpy()
+    cuts = [0, *(np.flatnonzero(lang[1:] != lang[:-1]) + 1).tolist(), len(lang)] if len(lang) else [0]
+    return Model({lang[s]: (gram[s:e], n[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)}, order)
 
 
 def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, with the columns named in `keep`.
 
     Null text, or text without a letter, is `und` with score 0. Without any label every text is `und`. Repeated rows
-    stay repeated. The model is a few tens of MB at most and is broadcast.
+    stay repeated. The model grows with the number of languages alone (a bounded sample of each) and is broadcast.
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -179,7 +212,7 @@ def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...]
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches_of(it, 16 << 20):
-            got = [m.predict(t) for t in b.column(1).to_pylist()]
+            got = m.predict_all(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*cols, "lang_pred", "score"])
 
     d = d.mapInArrow(run, schema)
@@ -197,7 +230,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches_of(it, 16 << 20):
-            got = [m.predict(t) for t in b.column(at).to_pylist()]
+            got = m.predict_all(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -186,6 +186,22 @@ def test_language(docs, rows):
     assert model.predict(None) == ("und", 0.0) and model.predict("123 %%") == ("und", 0.0)
 
 
+def test_many_languages(spark):
+    """Every label is learned, also beyond 200, and no language takes contexts from another."""
+    rnd = random.Random(7)
+    rows, words = [], {}
+    for k in range(230):
+        words[f"l{k:03d}"] = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzäöüßéèçñøåαβγδ") for _ in range(6)) for _ in range(12)]
+        for _ in range(9 if k < 200 else 6):
+            rows.append((len(rows), " ".join(rnd.choice(words[f"l{k:03d}"]) for _ in range(20)), f"l{k:03d}"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(d)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(model.languages) == learned and len(learned) > 200
+    got = found(language.identify(d, model))
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows if lang in learned)
+
+
 def test_language_code_lengths():
     texts = {"a": ["abra cadabra", "bar barb"], "b": ["xyzzy plugh", "quux ab"]}
     grams = {k: language.gram_counts(v) for k, v in texts.items()}
