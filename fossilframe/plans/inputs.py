@@ -29,6 +29,13 @@ def community(spark: SparkSession, sf: str, sparse: bool = False) -> DataFrame:
     return d.groupBy(F.col("c_nationkey").alias("sample"), F.col("p_brand").alias("taxon")).agg((F.count("*") if sparse else F.sum("l_quantity")).cast("double").alias("abundance"))
 
 
+def counts(spark: SparkSession, sf: str) -> DataFrame:
+    """sample (nation), taxon (brand), abundance: the number of sales, over all of lineitem."""
+    li = table(spark, sf, "lineitem")
+    d = li.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return d.groupBy(F.col("c_nationkey").alias("sample"), F.col("p_brand").alias("taxon")).agg(F.count("*").cast("double").alias("abundance"))
+
+
 SPECIMENS = "specimens AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 

@@ -145,7 +145,7 @@ def paleo_environment(spark, sf):
 
 @query()
 def log_series(spark, sf):
-    return rounded(ecology.log_series(I.community(spark, sf, True)))
+    return rounded(ecology.log_series(I.counts(spark, sf)))
 
 
 @query(

@@ -39,3 +39,8 @@ def test_against_sql(spark, con, name):
     assert sorted(df.columns) == sorted(cols)
     pick = lambda rs, cs: sorted(tuple(norm(r[cs.index(c)]) for c in sorted(cs)) for r in rs)
     assert pick(rows, df.columns) == pick(want, cols)
+
+
+def test_log_series_takes_all_rows(spark):
+    got = QUERIES["log_series"](spark, SF).collect()
+    assert sum(r["i"] * r["observed"] for r in got) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
