@@ -287,3 +287,12 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.schema("sample timestamp, taxon string, abundance long").parquet(out).collect()
     assert [(r["taxon"], r["abundance"]) for r in rows] == [("a", 2)]
+
+
+def test_concordance_is_exact(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(float(t), int(e), float(x)) for t, e, x in zip(rnd.integers(1, 40, 300), rnd.integers(0, 2, 300), np.round(rnd.normal(size=300), 1), strict=True)]
+    rows.append((20.0, 1, 1e6))  # stretches the range
+    pairs = [(a[2] > b[2]) + 0.5 * (a[2] == b[2]) for a in rows if a[1] for b in rows if b[0] > a[0]]
+    got = macroevolution._concordance(spark.createDataFrame(rows, "time double, event int, lp double"))
+    assert got == pytest.approx(sum(pairs) / len(pairs), abs=1e-12)
