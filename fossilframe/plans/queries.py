@@ -220,12 +220,12 @@ def pca_scores(spark, sf):
 
 @query()
 def pcoa(spark, sf):
-    return rounded(multivariate.pcoa(clustering.distance_matrix(I.few(spark, sf)))["variance"])
+    return rounded(multivariate.pcoa(clustering.distance_matrix(I.specimens(spark, sf)))["variance"])
 
 
 @query()
 def nmds(spark, sf):
-    return multivariate.nmds(clustering.distance_matrix(I.few(spark, sf)), restarts=4, max_iter=100)["stress"]
+    return multivariate.nmds(clustering.distance_matrix(I.specimens(spark, sf)))["stress"]
 
 
 @query()
@@ -234,7 +234,7 @@ def lda_confusion(spark, sf):
 
 
 def _blocks(spark, sf):
-    return I.specimens(spark, sf).select("id", F.slice("features", 1, 8).alias("a"), F.slice("features", 9, 8).alias("b"))
+    return I.specimens(spark, sf).select("id", F.slice("features", 1, 32).alias("a"), F.slice("features", 33, 32).alias("b"))
 
 
 @query()
@@ -274,17 +274,17 @@ def disparity(spark, sf):
 
 @query()
 def spanning_tree(spark, sf):
-    return rounded(multivariate.spanning_tree(clustering.distance_matrix(I.few(spark, sf))))
+    return rounded(multivariate.spanning_tree(clustering.distance_matrix(I.specimens(spark, sf))))
 
 
 @query()
 def linkage_ward(spark, sf):
-    return rounded(clustering.linkage(clustering.distance_matrix(I.few(spark, sf)), "ward"))
+    return rounded(clustering.linkage(clustering.distance_matrix(I.specimens(spark, sf)), "ward"))
 
 
 @query()
 def clusters_average(spark, sf):
-    return clustering.hierarchical_clusters(clustering.distance_matrix(I.few(spark, sf)), 3)["labels"]
+    return clustering.hierarchical_clusters(clustering.distance_matrix(I.specimens(spark, sf)), 3)["labels"]
 
 
 # --- tests ---------------------------------------------------------------------------------------------------------
@@ -342,19 +342,19 @@ def mann_whitney(spark, sf):
 @query()
 def permanova(spark, sf):
     s = I.specimens(spark, sf)
-    return hypothesis.permanova(clustering.distance_matrix(s), s, 199)
+    return hypothesis.permanova(clustering.distance_matrix(s), s)
 
 
 @query()
 def anosim(spark, sf):
     s = I.specimens(spark, sf)
-    return hypothesis.anosim(clustering.distance_matrix(s), s, 99)
+    return hypothesis.anosim(clustering.distance_matrix(s), s)
 
 
 @query()
 def mantel(spark, sf):
-    s = I.few(spark, sf)
-    return hypothesis.mantel(clustering.distance_matrix(s), clustering.distance_matrix(s, "cityblock"), 199)
+    s = I.specimens(spark, sf)
+    return hypothesis.mantel(clustering.distance_matrix(s), clustering.distance_matrix(s, "cityblock"))
 
 
 @query(
@@ -726,12 +726,12 @@ def consensus_trees(spark, sf):
 
 @query()
 def neighbor_joining(spark, sf):
-    return phylogenetics.node_table(spark, {"nj": phylogenetics.neighbor_joining(clustering.distance_matrix(I.few(spark, sf)))})
+    return phylogenetics.node_table(spark, {"nj": phylogenetics.neighbor_joining(clustering.distance_matrix(I.specimens(spark, sf)))})
 
 
 @query()
 def upgma(spark, sf):
-    return phylogenetics.node_table(spark, {"upgma": phylogenetics.upgma(clustering.distance_matrix(I.few(spark, sf)))})
+    return phylogenetics.node_table(spark, {"upgma": phylogenetics.upgma(clustering.distance_matrix(I.specimens(spark, sf)))})
 
 
 # --- transforms, imputation, tables --------------------------------------------------------------------------------

@@ -44,3 +44,11 @@ def test_against_sql(spark, con, name):
 def test_log_series_takes_all_rows(spark):
     got = QUERIES["log_series"](spark, SF).collect()
     assert sum(r["i"] * r["observed"] for r in got) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_ordination_takes_the_specimens(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert QUERIES["spanning_tree"](spark, SF).count() == n - 1
+    assert QUERIES["linkage_ward"](spark, SF).count() == n - 1
+    assert QUERIES["rda"](spark, SF).count() == 32
+    assert QUERIES["mantel"](spark, SF).first()["permutations"] == 999
