@@ -1,11 +1,10 @@
-"""Removal of passages that an earlier document has, by relative Lempel-Ziv parsing.
+"""Removal of passages that an earlier document has, by an exact join of windows by hash.
 
-A document is parsed against the blocks of documents with smaller ids: a factor starts where a window of WINDOW words
-occurs in a reference block, and is extended greedily, word by word, as long as the next window occurs in one too. The
-windows across a factor's end are looked up in their own right, so nothing is missed at the boundaries. Factors are at
-least WINDOW words long; they are the duplicate spans. The document itself isn't a reference, nor are later ones.
+A window of WINDOW words is marked where a document with a smaller id has it too; marked windows that touch or overlap
+are merged into spans, the duplicate ones. This replaces a relative Lempel-Ziv parse: there is no reference position and
+no longest match. The document itself isn't a reference, nor are later ones.
 
-The blocks are the groups of `exchange`; their index is dealt by hash, in two steps:
+Documents lie in the groups of `exchange`; the index of windows is dealt by hash, in two steps:
 1. Each window has an anchor, the smallest hash of its runs of ANCHOR words; equal windows have equal anchors. A group
    asks which of its distinct anchors (about one for five windows) any other group holds.
 2. For windows at such anchors alone, it asks whether another group has the window in a document with a smaller id.
@@ -41,7 +40,7 @@ def anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def factors(dup: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """The spans of the greedy parse, given for each window of a document whether it occurs before: (first word, last word + 1)."""
+    """The merged spans, given for each window of a document whether it occurs before: (first word, last word + 1)."""
     at = np.flatnonzero(dup)
     if not len(at):
         return []
