@@ -22,9 +22,12 @@ def lower_ascii(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; set to a local one only where the session names none (tests)."""
+    """A fresh folder below spark.checkpoint.dir. A session that names none gets a local one if it runs on this machine
+    alone (as tests do); on a cluster that would lose rows, so it is refused."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file:///tmp/fossilframe-checkpoints"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/fossilframe-{uuid.uuid4().hex}"
@@ -34,7 +37,16 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `stored` gave and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,23 +76,95 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, the same in every process; emptied when it holds a million words."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-HASHES = _Hashes()
-
-
-def hash_words(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of an odd number modulo 2^64 and their inverses, grown as needed."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(b))])) for b in (self.base, self.inverse))
+        return self.up[:n], self.down[:n]
+
+
+_BYTES, _GRAMS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1342543DE82EF95)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_PLAIN = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_FOLDED = _PLAIN.copy()
+_FOLDED[65:91] = _PLAIN[97:123]
+#: Bytes of text that are hashed together, about.
+_CHUNK = 1 << 20
+
+
+def _cuts(buffer: np.ndarray, begin: np.ndarray) -> list[int]:
+    """Places that cut the buffer into chunks without cutting a word: document starts or spaces."""
+    out, at, n = [0], 0, len(buffer)
+    while n - at > _CHUNK:
+        at += _CHUNK
+        k = int(np.searchsorted(begin, at))
+        after = int(begin[k]) if k < len(begin) else n
+        step = 4096
+        while at < after:  # the next space, unless a document starts before it
+            hit = np.flatnonzero(_SPACE[buffer[at : min(after, at + step)]])
+            if len(hit):
+                after = at + int(hit[0])
+                break
+            at = min(after, at + step)
+            step *= 2
+        at = after
+        if at < n:
+            out.append(at)
+    return [*out, n]
+
+
+def hash_text(buffer: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words in texts that lie one after another in a buffer of UTF-8: 64-bit hashes, first bytes, ends.
+
+    Words are those of WORD; its separators are single bytes that occur in no other character. A word's hash is the sum
+    of random numbers of its bytes times powers of an odd base, mixed with its length: one running sum serves all words.
+    """
+    begin = np.unique(offsets)
+    table = _FOLDED if lower else _PLAIN
+    hashes, starts, ends = [], [], []
+    cuts = _cuts(buffer, begin)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        x = buffer[a:b]
+        if not len(x):
+            continue
+        word = ~_SPACE[x]
+        edge = np.zeros(len(x) + 1, bool)  # a document's border also ends a word
+        edge[begin[np.searchsorted(begin, a) : np.searchsorted(begin, b, "right")] - a] = True
+        edge[0] = edge[-1] = True
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1] | edge[1:-1]
+        last[:-1] &= ~word[1:] | edge[1:-1]
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = _BYTES.get(len(x))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(table[x] * up)])
+        hashes.append(_mix((total[e] - total[s]) * down[s] ^ ((e - s).astype(np.uint64) << np.uint64(40))))
+        starts.append(s + a)
+        ends.append(e + a)
+    none = np.empty(0, np.int64)
+    return np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([none, *starts]), np.concatenate([none, *ends])
+
+
+def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings, and the places of the texts in them; a null text is empty."""
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    big = pa.types.is_large_string(texts.type)
+    _, at, data = texts.buffers()
+    offsets = np.frombuffer(at, np.int64 if big else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if texts.null_count:
+        size = np.diff(offsets)
+        if size[texts.is_null().to_numpy(zero_copy_only=False)].any():
+            return text_buffer(texts.fill_null(""))
+    buffer = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return buffer[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -88,17 +172,13 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (2**64 - 1)))
-    for j in range(k):
-        out = _mix(out ^ h[j : j + n]) + np.uint64(0xD1B54A32D192ED03)
-    return out
+    up, down = _GRAMS.get(len(h))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * up)])
+    return _mix((total[k:] - total[:n]) * down[:n] + np.uint64(0x9E3779B97F4A7C15 * (seed + k + 1) & (2**64 - 1)))
 
 
-def word_arrays(texts: list[str | None], pattern: re.Pattern = WORD, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_arrays(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts one after another, and the offsets of the texts in them."""
-    ends, words = [0], []
-    for t in texts:
-        if t:
-            words.extend(pattern.findall(lower_ascii(t) if lower else t))
-        ends.append(len(words))
-    return hash_words(words), np.array(ends, np.int64)
+    buffer, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    h, starts, _ = hash_text(buffer, offsets, lower)
+    return h, np.searchsorted(starts, offsets).astype(np.int64)

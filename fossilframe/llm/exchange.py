@@ -14,33 +14,40 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.llm.common import WORD, hash_words, lower_ascii, ranged_scan
+from fossilframe.llm.common import hash_text, ranged_scan, text_buffer
 
 #: Hashes that only propose candidates travel as 48 bits: a chance agreement costs work, never a wrong result.
 SHORT = np.uint64(2**64 - 2**16)
 #: Stands for a null id: after all others.
 LAST = 2**63 - 1
 PRIME, FACTOR = 2_147_483_647, 48_271
-#: Groups and buckets for each shuffle partition. A group sends at most a row to each bucket, and no more rows than hashes.
-GROUPS, BUCKETS = 2, 1
+#: Bytes of text in a group, about, where that gives more groups than there are shuffle partitions.
+GROUP_BYTES = 32 << 20
 PACKED = "b int, g int, keys binary, aux binary"
 ANSWER = "g int, keys binary, aux binary"
 
 
-def sizes(docs: DataFrame) -> tuple[int, int]:
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return GROUPS * n, BUCKETS * n
+def parts(df: DataFrame, bytes_: int) -> int:
+    """How many groups hold so many bytes: by their number, the session's shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // GROUP_BYTES))
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame) -> int:
+    """The number of groups, and of buckets: by the bytes of all texts."""
+    return parts(docs, ranged_scan(docs, "text").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+
+
+def group_of(id_: Column, groups: int) -> Column:
+    return F.pmod(F.pmod(F.pmod(id_, F.lit(PRIME)) * F.lit(FACTOR), F.lit(PRIME)), F.lit(groups)).cast("int")
+
+
+def grouped(docs: DataFrame, groups: int) -> DataFrame:
     """g, id, text: the documents and the group that each is dealt to."""
-    groups, _ = sizes(docs)
-    d = ranged_scan(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
-    mixed = F.pmod(F.pmod("id", F.lit(PRIME)) * F.lit(FACTOR), F.lit(PRIME))
-    return d.select(F.pmod(mixed, F.lit(groups)).cast("int").alias("g"), "id", "text")
+    d = ranged_scan(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
+    return d.select(group_of(F.col("id"), groups).alias("g"), "id", "text")
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -132,18 +139,20 @@ def member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Words:
     """The documents of one group, by id, as one array of word hashes."""
 
-    def __init__(self, t: pa.Table, pattern=WORD, lower: bool = False):
-        ids = t.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        texts = t.column("text").to_pylist()
-        find = pattern.findall
-        self.words: list[list[str]] = [find(lower_ascii(x) if lower else x) if x else [] for x in (texts[i] for i in order)]
-        self.ends = np.cumsum([len(w) for w in self.words]) if self.words else np.empty(0, np.int64)
-        self.starts = self.ends - [len(w) for w in self.words] if self.words else self.ends
-        self.h = hash_words([w for ws in self.words for w in ws])
+    def __init__(self, t: pa.Table, lower: bool = False):
+        t = t.select(["id", "text"]).sort_by("id").combine_chunks()
+        self.ids = t.column("id").to_numpy()
+        text = t.column("text")
+        self.buffer, self.offsets = text_buffer(text.chunk(0) if text.num_chunks else pa.array([], pa.string()))
+        self.h, self.first, self.last = hash_text(self.buffer, self.offsets, lower)
+        bounds = np.searchsorted(self.first, self.offsets)
+        self.starts, self.ends = bounds[:-1], bounds[1:]
         #: The document, by its place in ids, of each word.
-        self.doc = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
+        self.doc = np.repeat(np.arange(len(self.ids)), self.ends - self.starts)
+
+    def joined(self, a: int, b: int) -> bytes:
+        """The words from place a up to b, which are of one document, with one space between."""
+        return b" ".join(self.buffer[self.first[a] : self.last[b - 1]].tobytes().split()) if b > a else b""
 
     def valid(self, k: int) -> np.ndarray:
         """Places at which k words of one document start."""

@@ -22,21 +22,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.llm.common import WORD, _mix, ranged_scan, word_arrays
+from fossilframe.llm.common import _mix, ranged_scan, word_arrays
 from fossilframe.llm.exchange import planes, sizes, unplanes
 
 #: The least vocabulary, and the id of a document's start as a history (words have negative ids).
 VOCABULARY, MU = 1 << 16, 16.0
 SENT = "b int, g int, keys binary, every binary, mine binary"
 SUMS = "b int, g int, every binary, mine binary, words long, n_every long, n_mine long"
-#: Groups and buckets for each of the exchange's: what either holds then fits into a small worker.
-FINER = 1.5
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids of all texts (negative), the id before each (VOCABULARY at a start), and the texts' offsets."""
-    h, offsets = word_arrays(texts, WORD, True)
+    h, offsets = word_arrays(texts, True)
     ids = ~(h >> np.uint64(1)).astype(np.int64)
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -111,7 +109,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     Null or wordless texts have no tokens and null losses. Repeated rows count and are scored each. Without target
     documents both models are uniform and every difference is 0. target may list an id more than once.
     """
-    groups, buckets = (round(FINER * x) for x in sizes(docs))
+    groups = buckets = sizes(docs)
     target = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     d = ranged_scan(docs, "doc_id", "text").select(group_of(F.col("doc_id"), F.col("text"), groups).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sums = summed(d, target.select(group_of(F.col("doc_id"), F.col("doc_id"), groups).alias("g"), "doc_id"), buckets)

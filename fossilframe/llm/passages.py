@@ -50,8 +50,8 @@ def factors(dup: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def _repeated(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
     """The grouped documents, and the windows of each group that occur in a document with a smaller id of another group."""
-    d = grouped(docs)
-    _, buckets = sizes(docs)
+    buckets = sizes(docs)
+    d = grouped(docs, buckets)
 
     def ask_anchors(key: tuple, t: pa.Table) -> pa.Table:
         w = Words(t)
@@ -98,32 +98,34 @@ def _marked(w: Words, known: pa.Table, window: int) -> np.ndarray:
 
 
 def _parsed(docs: DataFrame, window: int, anchor: int, make, schema: str) -> DataFrame:
-    """make(words, ids, spans) builds the rows of a group; ids has the null ids back as None."""
+    """make(words, ids, spans), of a group's Words, builds the rows of a group; ids has the null ids back as None."""
     d, known = _repeated(docs, window, anchor)
 
     def run(key: tuple, t: pa.Table, k: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return make([], [], [])
+            return make(None, [], [])
         w = Words(t)
         dup = _marked(w, k, window)
         spans = [factors(dup[s:e], window) for s, e in zip(w.starts, w.ends, strict=True)]
-        return make(w.words, [None if i == LAST else i for i in w.ids.tolist()], spans)
+        return make(w, [None if i == LAST else i for i in w.ids.tolist()], spans)
 
     return d.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(run, schema)
 
 
-def kept_words(words: list[str], spans: list[tuple[int, int]]) -> list[str]:
-    out, last = [], 0
-    for a, b in spans:
-        out += words[last:a]
-        last = b
-    return out + words[last:]
+def kept_words(w: Words, i: int, spans: list[tuple[int, int]]) -> bytes:
+    """The words of the group's document i that no span covers, with one space between."""
+    out, last, begin = [], int(w.starts[i]), int(w.starts[i])
+    for a, b in [*spans, (int(w.ends[i]) - begin, 0)]:
+        if begin + a > last:
+            out.append(w.joined(last, begin + a))
+        last = begin + b
+    return b" ".join(out)
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, spans array<struct<first, last>>: the duplicate spans of every document, in words, `last` exclusive."""
 
-    def make(words: list, ids: list, spans: list) -> pa.Table:
+    def make(w: Words | None, ids: list, spans: list) -> pa.Table:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], kind)})
 
@@ -137,13 +139,13 @@ def digest_removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     other's words; each is cut by smaller ids. A null id counts as larger than all others.
     """
 
-    def make(words: list, ids: list, spans: list) -> pa.Table:
+    def make(w: Words | None, ids: list, spans: list) -> pa.Table:
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
-                "n_words": pa.array([len(w) for w in words], pa.int64()),
+                "n_words": pa.array(w.ends - w.starts if w else [], pa.int64()),
                 "n_removed": pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                "kept_sha256": pa.array([hashlib.sha256(" ".join(kept_words(w, s)).encode()).hexdigest() for w, s in zip(words, spans, strict=True)], pa.string()),
+                "kept_sha256": pa.array([hashlib.sha256(kept_words(w, i, s)).hexdigest() for i, s in enumerate(spans)], pa.string()),
             }
         )
 
