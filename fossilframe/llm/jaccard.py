@@ -9,8 +9,8 @@ With t the largest distance of a link, the join goes from points to pivots, to V
 2. Pivots. The first n - ceil(num n / den) + 1 shingles of two linked sets in that order have one in common (n counts the
    shingles that nobody shares, which come before all). The smallest point that has a shingle there is its pivot. Every
    point measures its distance to the pivots of its first shingles; those within t are linked to it.
-3. Voronoi regions. A point's home is the nearest of its pivots; a pivot's covering radius is the distance of the farthest
-   point at home there.
+3. Voronoi regions. A point's home is the nearest of its pivots, once pivots close to a smaller one are passed over; a
+   pivot's covering radius is the distance of the farthest point at home there.
 4. Windows. If x and y are linked, they share a first shingle; so x learns of y's home q, among the homes of those that
    hold its first shingles. By the triangle inequality x is within t + radius(q) of q: the points for which this holds
    are replicated to q's region, so that x and y meet in it. Shingles all of whose holders are connected already ask for
@@ -38,7 +38,7 @@ from fossilframe.llm.components import connected_components
 from fossilframe.llm.exchange import LAST, PACKED, Words, answers, group_of, grouped, meet, pack, parts, planes, runs, sizes, unplanes
 
 #: Points of a region that one task joins; members of a part that are joined without further pivots; pivots of a part.
-REGION, LEAF, FAN = 4096, 64, 8
+REGION, LEAF, FAN = 1024, 64, 8
 ASKED = "b int, g int, keys binary, many binary"
 #: Bits of the table of removed documents: 8 MB at any size of the input.
 TABLE_BITS = 1 << 26
@@ -270,6 +270,20 @@ def pivot_distances(members: DataFrame, groups: int, num: int, den: int) -> Data
     return stored(d.groupBy("g").cogroup(wanted.join(sets, "p").groupBy("g")).applyInArrow(measure, "x long, p long, d double, linked boolean"))
 
 
+def nearest_pivots(near: DataFrame, t: float) -> DataFrame:
+    """x, home, r: each point's home and its distance; stored.
+
+    Pivots within 2 t of a smaller pivot would cut a dense neighbourhood into many regions with the same members in their
+    windows. They are passed over where a pivot that stays is within 3 t; among those that are left the nearest counts.
+    """
+    close = stored(near.filter((F.col("x") != F.col("p")) & (F.col("d") <= 2 * t)).select(F.col("x").alias("close")).distinct())
+    d = near.join(close, near["p"] == close["close"], "left")
+    over = F.col("close").isNotNull() | (F.col("d") > 3 * t)
+    out = stored(d.groupBy("x").agg(F.min(F.struct(over.alias("over"), "d", "p")).alias("h")).select("x", F.col("h.p").alias("home"), F.col("h.d").alias("r")))
+    drop_stored(close)
+    return out
+
+
 def region_members(members: DataFrame, homes: DataFrame, roots: DataFrame, groups: int, num: int, den: int) -> DataFrame:
     """q, id, n, c, tokens: the points of each region, with the component that each is known to be in; stored.
 
@@ -465,7 +479,7 @@ def _roots(members: DataFrame, num: int, den: int) -> DataFrame:
     groups = parts(members, 4 * (members.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0))
     near = pivot_distances(members, groups, num, den)
     roots = connected_components(near.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
-    homes = stored(near.groupBy("x").agg(F.min(F.struct("d", "p")).alias("h")).select("x", F.col("h.p").alias("home"), F.col("h.d").alias("r")))
+    homes = nearest_pivots(near, 1 - num / den)
     regions = region_members(members, homes, roots, groups, num, den)
     links = stored(region_links(regions, num, den))
     drop_stored(near, homes, regions)

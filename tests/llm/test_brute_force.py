@@ -392,3 +392,35 @@ def test_pieces(spark, docs, rows):
     for i, t, _ in rows:
         ids = lib.encode(t, add_eos=True)
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+
+
+def test_private_long_dense_text(spark):
+    """A text of a megabyte full of spans takes seconds, and its spans and mask are those of the plain patterns."""
+    import time
+
+    rnd = random.Random(8)
+    bits = ["a@b.cc", "10.1.2.3", "AB12CD34", "4111 1111 1111 1111", "+1 (555) 123-4567", "word", "é😀", "4111-1111-1111-1112"]
+    text = "\n".join(" ".join(rnd.choice(bits) for _ in range(9)) for _ in range(10_000))[:1_000_000]
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    got = private.find_private(d).first()
+    assert [s for s in got["spans"].split(",") if not s.startswith("id:")] == plain_spans(text)
+    masked = private.mask_private(d).first()["text"]
+    assert time.time() - start < 120 and "@" not in masked and masked.count("word") == text.count("word")
+
+
+def test_private_discovers_as_registered(spark):
+    """Production parameters: half the mentions after one pair of words are seeds, so the others there are found too."""
+    rnd = random.Random(6)
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(38)) + "a1"
+    rows = [(i, f"the secret token {key()} is here") for i in range(12)]
+    rows += [(100 + i, f"the secret token {i}XZ77QQ{i:04d} is here") for i in range(12)]
+    rows += [(200 + i, f"some ordinary word{i} AB12CD{i:04d} is here") for i in range(12)]
+    rows += [(300 + i, f"mail w{i}@x.org or version AB12CE{i:04d}") for i in range(3)]
+    got = found(private.find_private(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    for i, text in rows:
+        if i < 200:
+            at = len("the secret token ")
+            assert got[i]["spans"] == f"id:{at}:{text.index(' is here')}" and got[i]["n_spans"] == 1, text
+        else:
+            assert got[i]["n_id"] == 0
