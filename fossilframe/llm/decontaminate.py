@@ -5,8 +5,10 @@ word, tracking the longest suffix read that occurs in an item. Where that length
 whole item if it is shorter), the words of the window are hit. Hit spans can be cut out, and a document that is mostly
 hit can be dropped.
 
-The benchmark is broadcast only below a checked size; beyond BLOCK_WORDS words it is cut into blocks with an automaton
-each, and every buffer of documents is streamed through every block.
+The benchmark is cut into blocks of BLOCK_WORDS words with an automaton each, and the blocks into parts of PART_WORDS, so
+that a worker holds a part's automata at once. A part is broadcast, which bounds the broadcast whatever the benchmark's
+size. Documents pass all parts in turn, each adding its spans and items; between two parts they are written to the shared
+folder. Most benchmarks are one part.
 """
 
 from __future__ import annotations
@@ -20,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.llm.common import LOWER, batches_of, ranged_scan
+from fossilframe.llm.common import LOWER, batches_of, drop_stored, ranged_scan, stored
 
 #: Words once A-Z is lower-cased; over the text as it stands the same words are found with A-Z allowed.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-BLOCK_WORDS = 100_000
-MAX_BENCHMARK_BYTES = 64 << 20
+BLOCK_WORDS, PART_WORDS = 100_000, 400_000
 
 
 class SuffixAutomaton:
@@ -165,43 +166,57 @@ def _automaton(key: tuple, items: list, window: int) -> SuffixAutomaton:
     return _BUILT[key]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list]:
-    """The items as words in blocks of a bounded size. Items without words have no window."""
+def parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[list]]:
+    """The items as words, in parts of blocks, read one part at a time. Items without words have no window."""
     b = ranged_scan(benchmark, id_col, text_col).filter(F.col(text_col).isNotNull())
-    size = b.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; split it into tables of at most {MAX_BENCHMARK_BYTES}")
-    blocks, held = [[]], 0
+    blocks, held, all_ = [[]], 0, 0
     for item, text in b.toLocalIterator():
         words = [w.translate(LOWER) for w in WORD.findall(text)]
         if held and held + len(words) > BLOCK_WORDS:
+            if all_ + len(words) > PART_WORDS:
+                yield blocks
+                blocks, all_ = [], 0
             blocks.append([])
             held = 0
         if words:
             blocks[-1].append((item, words))
             held += len(words)
-    return blocks
+            all_ += len(words)
+    yield blocks
 
 
-def scanner(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str = "item_id", item_text: str = "text"):
-    """A function of a list of texts: for each (words, hit spans, items)."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs' text, its other columns as `row`, the number of words, the hit spans and the items whose windows occur."""
     spark = docs.sparkSession
-    shared, token = spark.sparkContext.broadcast(_blocks(benchmark, item_col, item_text)), uuid.uuid4().hex
-
-    def scan(texts: list[str | None]) -> list[tuple[int, list, set]]:
-        words = [WORD.findall(t) if t else [] for t in texts]
-        spans: list[list] = [[] for _ in texts]
-        items: list[set] = [set() for _ in texts]
-        for k, block in enumerate(shared.value):
-            if block:
-                a = _automaton((token, k), block, window)
-                for i, w in enumerate(words):
-                    s, found = a.scan(w)
-                    spans[i] += s
-                    items[i] |= found
-        return [(len(w), merged(s), i) for w, s, i in zip(words, spans, items, strict=True)]
-
-    return scan
+    kind = dict(ranged_scan(benchmark, item_col).dtypes)[item_col]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
+    d = docs.select(F.struct(*rest).alias("row"), "text", F.lit(0).cast("long").alias("words"), F.expr("CAST(array() AS array<array<int>>)").alias("spans"), F.expr(f"CAST(array() AS array<{kind}>)").alias("items"))
+    before = None
+    for k, part in enumerate(parts(benchmark, item_col, item_text)):
+        shared, token = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            for b in batches_of(it, 16 << 20):
+                words = [WORD.findall(t) if t else [] for t in b.column(1).to_pylist()]
+                spans, items = (b.column(c).to_pylist() for c in (3, 4))
+                for j, block in enumerate(shared.value):
+                    if block:
+                        a = _automaton((token, j), block, window)
+                        for i, w in enumerate(words):
+                            s, found = a.scan(w)
+                            if s:
+                                spans[i] = merged([*map(tuple, spans[i]), *s])
+                                items[i] = list({*items[i], *found})
+                cols = [b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([list(map(list, s)) for s in spans], b.schema.field(3).type), pa.array(items, b.schema.field(4).type)]
+                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+        if k:
+            now = stored(d)
+            if before is not None:
+                drop_stored(before)
+            before = d = now
+        d = d.mapInArrow(run, d.schema)
+    return d
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -210,26 +225,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     Null or wordless text has no words and no hits; items_sha256 is then the digest of the empty string. Repeated rows
     stay repeated. An empty benchmark hits nothing. Item ids are sorted as strings; an item listed twice counts once.
     """
-    scan = scanner(docs, benchmark, window)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, 16 << 20):
-            got = scan(b.column(1).to_pylist())
-            hit = [sum(y - x for x, y in s) for _, s, _ in got]
-            named = [sorted(map(str, i)) for _, _, i in got]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([n for n, _, _ in got], pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(x) for x in named], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()),
-                    pa.array([h > 0 for h in hit], pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return ranged_scan(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    d = with_hits(ranged_scan(docs, "doc_id", "text"), benchmark, window)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    named = F.sort_array(F.array_distinct(F.transform("items", lambda x: x.cast("string"))))
+    return d.select(
+        "row.doc_id",
+        F.col("words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size(named).cast("long").alias("n_items"),
+        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -238,21 +244,17 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     A removed span takes with it the text from its first word to the end of its last. All columns of docs come back;
     only `text` changes. A document without hits comes back unchanged.
     """
-    scan = scanner(docs, benchmark, window)
-    at = docs.columns.index("text")
+    d = with_hits(docs, benchmark, window)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, 16 << 20):
-            texts = b.column(at).to_pylist()
-            keep, out = [], []
-            for t, (n, spans, _) in zip(texts, scan(texts), strict=True):
-                keep.append(sum(y - x for x, y in spans) <= max_coverage * n)
-                out.append(cut(t, spans) if spans else t)
-            cols = list(b.columns)
-            cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema.set(at, pa.field(b.schema.field(at).name, pa.string()))).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts, words, spans = (b.column(c).to_pylist() for c in (1, 2, 3))
+            keep = [sum(y - x for x, y in s) <= max_coverage * n for n, s in zip(words, spans, strict=True)]
+            out = [cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    d = d.mapInArrow(run, d.select("row", "text").schema)
+    return d.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

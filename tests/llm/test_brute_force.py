@@ -70,9 +70,55 @@ def test_binomial_bounds():
     for n in (100, 1000):
         k = quality.most_failures(n, 0.02, 0.001)
         assert (k < 0 or quality.upper_bound(k, n, 0.001) <= 0.02 + 1e-9) and quality.upper_bound(k + 1, n, 0.001) > 0.02
-    assert quality.choose({0: 5000, 500: 2}, {500: 40, 0: 10}, 0.01, 1e-5) == 500
-    assert quality.choose({0: 50, 500: 2}, {500: 40}, 0.01, 1e-5) is None
-    assert quality.choose({}, {500: 40}, 0.01, 1e-5) is None
+    assert quality.certified({0: 2, 1: 4, 2: 90, None: 4904}, 3, 5000, 0.01, 1e-3) == 2
+    assert quality.certified({0: 0, None: 50}, 1, 50, 0.05, 0.0125) == 0 and quality.certified({None: 86}, 1, 86, 0.05, 0.0125) == 1
+    assert quality.certified({}, 1, 0, 0.05, 0.01) == 0
+
+
+def test_quality_verdict(spark):
+    """kept as worked out plainly from the labels; English certifies a rule at this scale, and the rule rejects."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = found(quality.judge(d, labels))
+    rows = {r["doc_id"]: r for r in d.selectExpr("doc_id", "lang", "text", "pmod(xxhash64(doc_id), 1 << 30) AS h").collect()}
+    said = {}
+    for r in labels.collect():
+        said[r["doc_id"]] = max(said.get(r["doc_id"], 0), r["quality"])
+    values = {i: quality.features(r["text"]) for i, r in rows.items()}
+    cut = {}
+    held = {i: q for i, q in said.items() if i in rows and not values[i][5]}
+    strata = {rows[i]["lang"] for i in held}
+    for s in strata:
+        mine = [i for i in held if rows[i]["lang"] == s]
+        tune = [i for i in mine if rows[i]["h"] < min(1 / 3, quality.TUNE / len(mine)) * (1 << 30)]
+        left, chosen = set(tune), []
+        good, bad = sum(held[i] for i in tune) or 1, sum(not held[i] for i in tune) or 1
+        while True:
+            gains = []
+            for r in range(len(quality.RULES)):
+                for c in quality.GRID:
+                    hit = [i for i in left if values[i][6 + r] >= c]
+                    gains.append((round(sum(1 / bad if not held[i] else -quality.COST / good for i in hit), 9), -r, c))
+            if max(gains)[0] <= 0:
+                break
+            _, r, c = max(gains)
+            chosen.append((-r, c))
+            left = {i for i in left if values[i][6 - r] < c}
+        rest = [i for i in mine if i not in set(tune) and held[i]]
+        cut[s] = []
+        for k in range(len(chosen)):
+            lost = sum(any(values[i][6 + r] >= c for r, c in chosen[: k + 1]) for i in rest)
+            if not rest or quality.upper_bound(lost, len(rest), quality.DELTA / len(strata)) > quality.ALPHA + 1e-9:
+                break
+            cut[s] = chosen[: k + 1]
+    assert cut["en"]
+    gone = 0
+    for i, r in rows.items():
+        base = values[i][5]
+        rejected = any(values[i][6 + k] >= c for k, c in cut.get(r["lang"], []))
+        gone += rejected and not base
+        assert got[i]["base_failed"] == base and got[i]["kept"] == (not base and not rejected)
+    assert gone > 10
 
 
 @pytest.mark.parametrize("k,num", [(4, 85), (5, 80), (2, 40)])
@@ -424,3 +470,15 @@ def test_private_discovers_as_registered(spark):
             assert got[i]["spans"] == f"id:{at}:{text.index(' is here')}" and got[i]["n_spans"] == 1, text
         else:
             assert got[i]["n_id"] == 0
+
+
+def test_decontamination_in_parts(spark, docs, monkeypatch):
+    """A benchmark of many parts gives what one of a single part does."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(decontaminate.contamination(docs, bench).collect(), key=lambda r: r["doc_id"])
+    left = sorted((r["doc_id"], r["text"]) for r in decontaminate.remove_contamination(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 150)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 400)
+    assert len(list(decontaminate.parts(bench, "item_id", "text"))) > 3
+    assert sorted(decontaminate.contamination(docs, bench).collect(), key=lambda r: r["doc_id"]) == want
+    assert sorted((r["doc_id"], r["text"]) for r in decontaminate.remove_contamination(docs, bench).collect()) == left
