@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+with contextlib.suppress(OSError, AttributeError):
+    # Arrays of a megabyte and more go back to the system once freed (glibc would keep up to 32 MB blocks, and a worker
+    # that waits for the next stage holds on to them).
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
 #: Words of most contracts: runs of anything but space and the ASCII controls from tab to carriage return.
 WORD = re.compile(r"[^ \t-\r]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -98,6 +105,8 @@ _FOLDED = _PLAIN.copy()
 _FOLDED[65:91] = _PLAIN[97:123]
 #: Bytes of text that are hashed together, about.
 _CHUNK = 1 << 20
+#: Runs of words that are hashed together.
+_RUN = 1 << 17
 
 
 def _cuts(buffer: np.ndarray, begin: np.ndarray) -> list[int]:
@@ -172,9 +181,14 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = _GRAMS.get(len(h))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(h * up)])
-    return _mix((total[k:] - total[:n]) * down[:n] + np.uint64(0x9E3779B97F4A7C15 * (seed + k + 1) & (2**64 - 1)))
+    up, down = _GRAMS.get(min(n, _RUN) + k - 1)
+    mark = np.uint64(0x9E3779B97F4A7C15 * (seed + k + 1) & (2**64 - 1))
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, _RUN):
+        b = min(n, a + _RUN)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(h[a : b + k - 1] * up[: b + k - 1 - a])])
+        out[a:b] = _mix((total[k:] - total[: b - a]) * down[: b - a] + mark)
+    return out
 
 
 def word_arrays(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ SHORT = np.uint64(2**64 - 2**16)
 LAST = 2**63 - 1
 PRIME, FACTOR = 2_147_483_647, 48_271
 #: Bytes of text in a group, about, where that gives more groups than there are shuffle partitions.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 PACKED = "b int, g int, keys binary, aux binary"
 ANSWER = "g int, keys binary, aux binary"
 
