@@ -16,17 +16,20 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from fossilframe.llm.common import LOWER, batches_of, drop_stored, ranged_scan, stored
 
 #: Words once A-Z is lower-cased; over the text as it stands the same words are found with A-Z allowed.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 BLOCK_WORDS, PART_WORDS = 100_000, 400_000
+#: Bytes of documents that are streamed through a part's blocks together, about.
+BATCH = 4 << 20
 
 
 class SuffixAutomaton:
@@ -185,20 +188,26 @@ def parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[lis
     yield blocks
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs' text, its other columns as `row`, the number of words, the hit spans and the items whose windows occur."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable, made: StructType, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """finish(row, texts, words, spans, items) of each batch of docs, with the schema `made`.
+
+    row: docs' columns but the text, as one array; words: how many; spans: the hit ones; items: whose windows occur.
+    """
     spark = docs.sparkSession
     kind = dict(ranged_scan(benchmark, item_col).dtypes)[item_col]
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
-    d = docs.select(F.struct(*rest).alias("row"), "text", F.lit(0).cast("long").alias("words"), F.expr("CAST(array() AS array<array<int>>)").alias("spans"), F.expr(f"CAST(array() AS array<{kind}>)").alias("items"))
-    before = None
-    for k, part in enumerate(parts(benchmark, item_col, item_text)):
-        shared, token = spark.sparkContext.broadcast(part), uuid.uuid4().hex
-
-        def run(it: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
-            for b in batches_of(it, 16 << 20):
-                words = [WORD.findall(t) if t else [] for t in b.column(1).to_pylist()]
-                spans, items = (b.column(c).to_pylist() for c in (3, 4))
+    d = docs.select(F.struct(*rest).alias("row"), "text", F.expr("CAST(array() AS array<array<int>>)").alias("spans"), F.expr(f"CAST(array() AS array<{kind}>)").alias("items"))
+    before, todo = None, parts(benchmark, item_col, item_text)
+    part = next(todo)
+    while part is not None:
+        after = next(todo, None)
+        shared, token, last = spark.sparkContext.broadcast(part), uuid.uuid4().hex, after is None
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared, token=token, last=last) -> Iterator[pa.RecordBatch]:
+            for b in batches_of(it, BATCH):
+                texts = b.column(1).to_pylist()
+                words = [WORD.findall(t) if t else [] for t in texts]
+                spans, items = (b.column(c).to_pylist() for c in (2, 3))
                 for j, block in enumerate(shared.value):
                     if block:
                         a = _automaton((token, j), block, window)
@@ -207,15 +216,19 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str
                             if s:
                                 spans[i] = merged([*map(tuple, spans[i]), *s])
                                 items[i] = list({*items[i], *found})
-                cols = [b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([list(map(list, s)) for s in spans], b.schema.field(3).type), pa.array(items, b.schema.field(4).type)]
-                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-
-        if k:
-            now = stored(d)
+                if last:
+                    yield finish(b.column(0), texts, [len(w) for w in words], spans, items)
+                else:
+                    cols = [b.column(0), b.column(1), pa.array([list(map(list, s)) for s in spans], b.schema.field(2).type), pa.array(items, b.schema.field(3).type)]
+                    yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+        d = d.mapInArrow(run, made if last else d.schema)
+        if not last:
+            d = stored(d)
             if before is not None:
                 drop_stored(before)
-            before = d = now
-        d = d.mapInArrow(run, d.schema)
+            before = d
+        part = after
     return d
 
 
@@ -225,17 +238,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     Null or wordless text has no words and no hits; items_sha256 is then the digest of the empty string. Repeated rows
     stay repeated. An empty benchmark hits nothing. Item ids are sorted as strings; an item listed twice counts once.
     """
-    d = with_hits(ranged_scan(docs, "doc_id", "text"), benchmark, window)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    named = F.sort_array(F.array_distinct(F.transform("items", lambda x: x.cast("string"))))
-    return d.select(
-        "row.doc_id",
-        F.col("words").alias("n_words"),
-        hit.alias("n_hit"),
-        F.size(named).cast("long").alias("n_items"),
-        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"),
-    )
+    made = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")])
+
+    def finish(row: pa.Array, texts: list, words: list, spans: list, items: list) -> pa.RecordBatch:
+        hit = [sum(y - x for x, y in s) for s in spans]
+        named = [sorted(set(map(str, i))) for i in items]
+        cols = [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in named], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
+        return pa.RecordBatch.from_arrays([row.field(0), *cols], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return with_hits(ranged_scan(docs, "doc_id", "text"), benchmark, window, finish, made)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -244,17 +255,16 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     A removed span takes with it the text from its first word to the end of its last. All columns of docs come back;
     only `text` changes. A document without hits comes back unchanged.
     """
-    d = with_hits(docs, benchmark, window)
+    names = [c for c in docs.columns if c != "text"]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, 16 << 20):
-            texts, words, spans = (b.column(c).to_pylist() for c in (1, 2, 3))
-            keep = [sum(y - x for x, y in s) <= max_coverage * n for n, s in zip(words, spans, strict=True)]
-            out = [cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"]).filter(pa.array(keep, pa.bool_()))
+    def finish(row: pa.Array, texts: list, words: list, spans: list, items: list) -> pa.RecordBatch:
+        keep = [sum(y - x for x, y in s) <= max_coverage * n for n, s in zip(words, spans, strict=True)]
+        out = pa.array([cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
+        cols = [row.field(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([*cols, out], [*names, "text"]).filter(pa.array(keep, pa.bool_()))
 
-    d = d.mapInArrow(run, d.select("row", "text").schema)
-    return d.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    made = StructType([*[docs.schema[c] for c in names], docs.schema["text"]])
+    return with_hits(docs, benchmark, window, finish, made).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -28,7 +28,7 @@ ORDER = 3
 #: Sampled labelled documents for each language, at most about.
 SAMPLE = 1500
 #: Bytes of text that are scored together, about.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 LETTER = re.compile(r"[^\W\d_]")
 START = b"\n"
 
@@ -182,7 +182,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[bytes, int]] = {}
-        for b in batches_of(it):
+        for b in batches_of(it, BLOCK):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 mine = total.setdefault(lang, {})
                 for g, m in gram_counts([text], order).items():
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches_of(it, 16 << 20):
+        for b in batches_of(it, BLOCK):
             got = m.predict_all(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*cols, "lang_pred", "score"])
 
@@ -229,7 +229,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches_of(it, 16 << 20):
+        for b in batches_of(it, BLOCK):
             got = m.predict_all(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 
