@@ -20,6 +20,8 @@ DENSE = COMMUNITY.format(where="")
 SPARSE_WHERE = "l_returnflag = 'R' AND l_quantity = 50"
 SPARSE = COMMUNITY.format(where=f"WHERE {SPARSE_WHERE}").replace("sum(l_quantity)", "count(*)")
 
+COUNTED = DENSE.replace("sum(l_quantity)", "count(*)")
+
 
 def community(spark: SparkSession, sf: str, sparse: bool = False) -> DataFrame:
     """sample (nation), taxon (brand), abundance: quantities sold, or for the sparse one the number of large returns."""

@@ -54,14 +54,14 @@ def simpson(spark, sf):
 
 
 @query(
-    f"""WITH {I.SPARSE}, t AS (SELECT sample, sum(abundance) AS total FROM community GROUP BY sample),
+    f"""WITH {I.COUNTED}, t AS (SELECT sample, sum(abundance) AS total FROM community GROUP BY sample),
 s AS (SELECT sample, total, floor(total / 2) AS top, greatest(1, floor(floor(total / 2) / 10)) AS step FROM t WHERE floor(total / 2) > 1),
 n AS (SELECT s.sample, total, CAST(k AS BIGINT) AS n FROM s, range(1, 100000) r(k) WHERE k < top AND (k - 1) % step = 0)
 SELECT n.sample, n.n, round(sum(CASE WHEN total - abundance < n.n THEN 1 ELSE 1 - exp(lgamma(total - abundance + 1) - lgamma(total - abundance - n.n + 1) - lgamma(total + 1) + lgamma(total - n.n + 1)) END), 6) AS expected
 FROM n JOIN community c ON n.sample = c.sample GROUP BY n.sample, n.n"""
 )
 def rarefaction(spark, sf):
-    return rounded(ecology.rarefaction(I.community(spark, sf, True), points=10))
+    return rounded(ecology.rarefaction(I.counts(spark, sf), points=10))
 
 
 BETA = """WITH {c}, p AS (SELECT sample, taxon FROM community WHERE abundance > 0), r AS (SELECT sample, count(*) AS r FROM p GROUP BY sample),
@@ -163,11 +163,11 @@ def filter_endemic(spark, sf):
 
 
 @query(
-    f"""WITH {I.SPARSE}, n AS (SELECT sample, sum(abundance) AS n FROM community GROUP BY sample), b AS (SELECT x.sample AS i, y.sample AS j, sum(least(x.abundance, y.abundance)) AS m FROM community x JOIN community y ON x.taxon = y.taxon AND x.sample < y.sample GROUP BY 1, 2)
+    f"""WITH {I.COUNTED}, n AS (SELECT sample, sum(abundance) AS n FROM community GROUP BY sample), b AS (SELECT x.sample AS i, y.sample AS j, sum(least(x.abundance, y.abundance)) AS m FROM community x JOIN community y ON x.taxon = y.taxon AND x.sample < y.sample GROUP BY 1, 2)
 SELECT x.sample AS i, y.sample AS j, round(1 - 2 * coalesce(m, 0) / (x.n + y.n), 6) AS d FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON i = x.sample AND j = y.sample"""
 )
 def community_bray_curtis(spark, sf):
-    return rounded(clustering.community_distances(I.community(spark, sf, True)))
+    return rounded(clustering.community_distances(I.counts(spark, sf)))
 
 
 # --- distances, ordination, clusters -------------------------------------------------------------------------------
@@ -213,6 +213,27 @@ def pca_total_variance(spark, sf):
     return v.agg(F.round(F.sum("eigenvalue"), 4).alias("total"))
 
 
+@query(
+    f"""WITH {I.SPECIMENS}, c AS (SELECT k, avg(v[k]) AS m FROM specimens, range(1, 65) t(k) GROUP BY k),
+z AS (SELECT id, k, v[k] - m AS x FROM specimens, c), s AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM specimens) AS s FROM z a JOIN z b ON a.id = b.id GROUP BY 1, 2)
+SELECT round(sqrt(sum(s * s)), 4) AS norm FROM s"""
+)
+def pca_norm(spark, sf):
+    """The root of the sum of squared eigenvalues: the Frobenius norm of the covariance matrix."""
+    v = multivariate.pca(I.specimens(spark, sf))["variance"]
+    return v.agg(F.round(F.sqrt(F.sum(F.col("eigenvalue") * F.col("eigenvalue"))), 4).alias("norm"))
+
+
+@query(
+    f"""WITH {I.SPECIMENS}, c AS (SELECT k, var_samp(v[k]) AS s FROM specimens, range(1, 65) t(k) GROUP BY k)
+SELECT CAST(64 AS BIGINT) AS components, round(sum(s) * (SELECT count(*) - 1 FROM specimens), 3) AS total FROM c"""
+)
+def pcoa_total(spark, sf):
+    """Of Euclidean distances, as many eigenvalues as features, and their sum is that of the squared deviations."""
+    v = multivariate.pcoa(clustering.distance_matrix(I.specimens(spark, sf)), 64)["variance"]
+    return v.filter("eigenvalue > 1e-6").agg(F.count("*").alias("components"), F.round(F.sum("eigenvalue"), 3).alias("total"))
+
+
 @query()
 def pca_scores(spark, sf):
     return multivariate.pca(I.specimens(spark, sf), 2, "correlation")["scores"]
@@ -345,6 +366,38 @@ def permanova(spark, sf):
     return hypothesis.permanova(clustering.distance_matrix(s), s)
 
 
+PAIRS = f"""{I.SPECIMENS}, pairs AS (SELECT a.id AS i, b.id AS j, a.grp AS ga, b.grp AS gb, {LISTS["euclidean"]} AS d, {LISTS["cityblock"]} AS c FROM specimens a JOIN specimens b ON a.id < b.id),
+size AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n FROM specimens GROUP BY grp), whole AS (SELECT sum(n) AS n, count(*) AS k FROM size)"""
+
+
+@query(
+    f"""WITH {PAIRS}, t AS (SELECT sum(d * d) / max(n) AS total FROM pairs, whole),
+w AS (SELECT sum(s / n) AS within FROM (SELECT ga, sum(d * d) AS s FROM pairs WHERE ga = gb GROUP BY ga) JOIN size ON ga = grp)
+SELECT round((total - within) / (k - 1) / (within / (n - k)), 6) AS statistic FROM t, w, whole"""
+)
+def permanova_f(spark, sf):
+    """The statistic of permanova; its p-value depends on the generator."""
+    s = I.specimens(spark, sf)
+    return rounded(hypothesis.permanova(clustering.distance_matrix(s), s, permutations=1).select("statistic"))
+
+
+@query(
+    f"""WITH {PAIRS}, r AS (SELECT ga = gb AS same, row_number() OVER (ORDER BY d, i, j) AS r FROM pairs)
+SELECT round((avg(r) FILTER (NOT same) - avg(r) FILTER (same)) / (max(n) * (max(n) - 1) / 4), 6) AS statistic FROM r, whole"""
+)
+def anosim_r(spark, sf):
+    """The statistic of anosim."""
+    s = I.specimens(spark, sf)
+    return rounded(hypothesis.anosim(clustering.distance_matrix(s), s, permutations=1).select("statistic"))
+
+
+@query(f"WITH {PAIRS} SELECT round(corr(d, c), 6) AS statistic FROM pairs")
+def mantel_r(spark, sf):
+    """The statistic of mantel."""
+    s = I.specimens(spark, sf)
+    return rounded(hypothesis.mantel(clustering.distance_matrix(s), clustering.distance_matrix(s, "cityblock"), permutations=1).select("statistic"))
+
+
 @query()
 def anosim(spark, sf):
     s = I.specimens(spark, sf)
@@ -467,7 +520,11 @@ def linear_trend(spark, sf):
     return p.select("series", F.round("r2", 6).alias("r2"), F.round(F.col("coefficients")[1], 6).alias("slope"), F.round(F.col("coefficients")[0], 5).alias("intercept"))
 
 
-@query()
+@query(
+    f"""WITH {I.DAILY}, m AS (SELECT series, avg(x) AS mx, avg(y) AS my FROM series GROUP BY series), u AS (SELECT series, x - mx AS u, (x - mx) * (x - mx) AS s, y - my AS y FROM series JOIN m USING (series)),
+g AS (SELECT series, regr_slope(s, u) AS b, regr_intercept(s, u) AS a FROM u GROUP BY series), q AS (SELECT series, u, s - a - b * u AS q, y FROM u JOIN g USING (series))
+SELECT series, round((sum(y * u) * sum(y * u) / sum(u * u) + sum(y * q) * sum(y * q) / sum(q * q)) / sum(y * y), 6) AS r2 FROM q GROUP BY series"""
+)
 def polynomial_trend(spark, sf):
     return rounded(stratigraphy.polynomial_trend(I.series(spark, sf), 2).select("series", "r2"))
 
@@ -606,6 +663,14 @@ def equilibrium(spark, sf):
 # --- shapes --------------------------------------------------------------------------------------------------------
 
 
+@query(
+    f"""WITH {I.SPECIMENS}, p AS (SELECT id, v[k] AS x, v[k + 32] AS y FROM specimens, range(1, 33) t(k))
+SELECT id AS specimen, round(sqrt(32 * (var_pop(x) + var_pop(y))), 4) AS centroid_size FROM p GROUP BY id"""
+)
+def gpa_sizes(spark, sf):
+    return rounded(morphometrics.gpa(I.configurations(spark, sf))["aligned"].select("specimen", "centroid_size"), 4)
+
+
 @query()
 def gpa(spark, sf):
     return rounded(morphometrics.gpa(I.configurations(spark, sf))["aligned"].select("specimen", "centroid_size", "distance"), 4)
@@ -634,12 +699,29 @@ def allometry(spark, sf):
     return rounded(morphometrics.allometry(I.configurations(spark, sf))["coefficients"])
 
 
+@query(
+    f"""WITH {I.SPECIMENS}, d AS (SELECT k, v[k] AS v, ln(sqrt(list_sum(list_transform(v, lambda x: x * x)))) AS s FROM specimens, range(1, 65) t(k)),
+g AS (SELECT k, regr_syy(v, s) AS t, regr_syy(v, s) * regr_r2(v, s) AS r, count(*) - 2 AS df FROM d GROUP BY k)
+SELECT round(sum(r) / sum(t), 6) AS r2, round(sum(r) / ((sum(t) - sum(r)) / max(df)), 4) AS f FROM g"""
+)
+def allometry_r2(spark, sf):
+    f = morphometrics.allometry(I.configurations(spark, sf))["fit"]
+    return f.select(F.round("r2", 6).alias("r2"), F.round("f", 4).alias("f"))
+
+
 @query()
 def allometry_fit(spark, sf):
     return rounded(morphometrics.allometry(I.configurations(spark, sf))["fit"])
 
 
-@query()
+@query(
+    f"""WITH {I.DAILY}, d AS (SELECT series, y, y - lag(y) OVER (PARTITION BY series ORDER BY pos) AS s FROM series),
+g AS (SELECT series, count(*) AS n, avg(s * s) AS rw, var_pop(s) AS di, var_pop(y) AS st FROM d GROUP BY series),
+l AS (SELECT series, n, 2 + (n - 1) * (ln(2 * pi() * greatest(rw, 1e-10)) + 1) AS a, 4 + (n - 1) * (ln(2 * pi() * greatest(di, 1e-10)) + 1) AS b, 2 + n * (ln(2 * pi() * greatest(st, 1e-10)) + 1) AS c FROM g),
+e AS (SELECT *, exp((least(a, b, c) - a) / 2) AS ea, exp((least(a, b, c) - b) / 2) AS eb, exp((least(a, b, c) - c) / 2) AS ec FROM l)
+SELECT series, n, round(a, 4) AS aic_random_walk, round(b, 4) AS aic_directional, round(c, 4) AS aic_stasis, round(ea / (ea + eb + ec), 4) AS weight_random_walk, round(eb / (ea + eb + ec), 4) AS weight_directional,
+  round(ec / (ea + eb + ec), 4) AS weight_stasis, CASE WHEN n < 3 THEN 'unknown' WHEN a = least(a, b, c) THEN 'random_walk' WHEN b = least(a, b, c) THEN 'directional' ELSE 'stasis' END AS model FROM e"""
+)
 def evolution_rate(spark, sf):
     return rounded(morphometrics.evolution_rate(I.values(spark, sf)), 4)
 
@@ -772,7 +854,11 @@ def missing_report(spark, sf):
     return rounded(transforms.missing_report(I.long_matrix(spark, sf, True)))
 
 
-@query()
+@query(
+    f"""WITH {I.MATRIX}, g AS (SELECT variable, k / 10.0::DOUBLE AS g, CASE WHEN k = 0 THEN ln(value) ELSE (value ** (k / 10.0::DOUBLE) - 1) / (k / 10.0::DOUBLE) END AS y, ln(value) AS l FROM m, range(-20, 21) t(k) WHERE value > 0),
+l AS (SELECT variable, g, -count(*) / 2.0::DOUBLE * ln(var_pop(y)) + (g - 1) * sum(l) AS ll FROM g GROUP BY variable, g)
+SELECT variable, round(arg_max(g, ll), 4) AS lambda, round(max(ll), 4) AS likelihood FROM l GROUP BY variable"""
+)
 def boxcox(spark, sf):
     return rounded(transforms.boxcox_lambda(I.long_matrix(spark, sf)), 4)
 
