@@ -83,6 +83,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Word hashes for a second hash of the same runs of words."""
+    return _mix(h ^ np.uint64(0x94D049BB133111EB))
+
+
 class _Powers:
     """Powers of an odd number modulo 2^64 and their inverses, grown as needed."""
 

@@ -59,8 +59,14 @@ def unplanes(b: bytes, dtype: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(dtype).ravel()
 
 
+def numbers(b: bytes, n: int) -> np.ndarray:
+    """What `planes` made of the numbers of n keys: one for each, or a row of them for each."""
+    x = unplanes(b)
+    return x if len(x) in (0, n) else x.reshape(-1, n).T
+
+
 def pack(g: int, buckets: int, keys: np.ndarray, aux: np.ndarray | None = None) -> pa.Table:
-    """Rows for the buckets of one group's sorted distinct keys, with a number for each if aux is given."""
+    """Rows for the buckets of one group's sorted distinct keys, with a number (or a row of them) for each if aux is given."""
     b = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     b, keys = b[order], keys[order]
@@ -74,7 +80,7 @@ def pack(g: int, buckets: int, keys: np.ndarray, aux: np.ndarray | None = None)
             "b": pa.array(b[starts] if len(b) else [], pa.int32()),
             "g": pa.array([g] * len(starts), pa.int32()),
             "keys": pa.array([planes(keys[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()),
-            "aux": pa.array([planes(aux[s:e]) if aux is not None else b"" for s, e in zip(starts, ends, strict=True)], pa.binary()),
+            "aux": pa.array([planes(aux[s:e].T) if aux is not None else b"" for s, e in zip(starts, ends, strict=True)], pa.binary()),
         }
     )
 
@@ -85,7 +91,7 @@ def meet(entries: DataFrame, decide: Callable) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         keys = [unplanes(x, np.uint64) for x in t.column("keys").to_pylist()]
-        aux = [unplanes(x) for x in t.column("aux").to_pylist()]
+        aux = [numbers(x, len(k)) for x, k in zip(t.column("aux").to_pylist(), keys, strict=True)]
         gs = t.column("g").to_numpy()
         row = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
         k = np.concatenate(keys)
@@ -104,7 +110,7 @@ def meet(entries: DataFrame, decide: Callable) -> DataFrame:
             {
                 "g": pa.array(gs[row[starts]] if len(row) else [], pa.int32()),
                 "keys": pa.array([planes(k[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()),
-                "aux": pa.array([planes(number[s:e]) if number is not None else b"" for s, e in zip(starts, ends, strict=True)], pa.binary()),
+                "aux": pa.array([planes(number[s:e].T) if number is not None else b"" for s, e in zip(starts, ends, strict=True)], pa.binary()),
             }
         )
 
@@ -122,7 +128,7 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def answers(t: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
     """A group's answered keys, sorted, and their numbers."""
     keys = [unplanes(x, np.uint64) for x in t.column("keys").to_pylist()]
-    aux = [unplanes(x) for x in t.column("aux").to_pylist() if x]
+    aux = [numbers(x, len(k)) for x, k in zip(t.column("aux").to_pylist(), keys, strict=True) if x]
     k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
     order = np.argsort(k)
     return k[order], np.concatenate(aux)[order] if aux else None
@@ -154,6 +160,10 @@ class Words:
         """The words from place a up to b, which are of one document, with one space between."""
         return b" ".join(self.buffer[self.first[a] : self.last[b - 1]].tobytes().split()) if b > a else b""
 
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """The places of words in their documents."""
+        return at - self.starts[self.doc[at]]
+
     def valid(self, k: int) -> np.ndarray:
         """Places at which k words of one document start."""
         n = len(self.h) - k + 1

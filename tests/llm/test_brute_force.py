@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fossilframe.llm import decontaminate, jaccard, language, language_model, passages, pieces, private, quality, shards
@@ -422,6 +423,44 @@ def test_passages(docs, rows):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_passage_factors(docs, rows):
+    words = {i: WORD.findall(t) for i, t, _ in rows}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][k : k + 13]), (i, k))
+    some = 0
+    for i, r in found(passages.duplicate_factors(docs)).items():
+        w = words[i]
+        source = [first[tuple(w[k : k + 13])] for k in range(len(w) - 12)]
+        source = [x if x[0] < i else None for x in source]
+        want, e = [], 0  # word by word
+        while e < len(w):
+            s = next((k for k in range(min(e, len(source) - 1), max(-1, e - 13), -1) if source[k]), None)
+            if s is None:
+                e += 1
+                continue
+            z = s
+            while z + 1 < len(source) and source[z + 1] == (source[z][0], source[z][1] + 1):
+                z += 1
+            want.append((e, z + 13 - e, source[s][0], source[s][1] + e - s))
+            e = z + 13
+        got = [(f["first"], f["length"], f["source_id"], f["source_first"]) for f in r["factors"]]
+        assert got == want
+        for a, n, j, b in got:
+            assert j < i and w[a : a + n] == words[j][b : b + n]
+        some += len(got)
+    assert some > 200
+
+
+def test_windows_whose_first_hash_agrees_are_told_apart():
+    second = np.array([7, -7, 7, -7, 9], np.int64) << 32
+    aux = np.stack([np.array([5, 1, 3, 4, 2]), second | np.array([10, 11, 12, 13, 14])], axis=1)
+    hit, where = passages.earliest(np.array([1, 1, 1, 1, 2], np.uint64), np.arange(5), aux)
+    assert hit.tolist() == [True, False, False, True, False]
+    assert where[hit].tolist() == [[3, 12], [1, 11]]
+
+
 def test_pieces(spark, docs, rows):
     import sentencepiece
 
