@@ -79,3 +79,33 @@ def abundance_rank(community: DataFrame) -> DataFrame:
 def top_contributions(simper: DataFrame, n: int = 15) -> DataFrame:
     """The n largest contributions: the report that the bar chart shows."""
     return simper.orderBy(F.desc("mean"), "variable").limit(n)
+
+
+def null_histogram(simulated: DataFrame, observed: float, bins: int = 50) -> DataFrame:
+    """bin, low, high, n, observed (whether the observed score is in the bin): equal widths from the least to the largest
+    of all scores; every bin has a row."""
+    r = simulated.agg(F.least(F.min("x"), F.lit(float(observed))).alias("lo"), F.greatest(F.max("x"), F.lit(float(observed))).alias("hi"))
+    r = r.withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0))
+
+    def place(x):
+        return F.least(F.floor((x - F.col("lo")) / F.col("w")), F.lit(bins - 1)).cast("int")
+
+    n = simulated.filter("x IS NOT NULL").crossJoin(F.broadcast(r)).groupBy(place(F.col("x")).alias("bin")).agg(F.count("*").alias("n"))
+    edges = simulated.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(r))
+    low = F.col("lo") + F.col("bin") * F.col("w")
+    return edges.join(F.broadcast(n), "bin", "left").select("bin", low.alias("low"), (low + F.col("w")).alias("high"), F.coalesce("n", F.lit(0)).alias("n"), (place(F.lit(float(observed))) == F.col("bin")).alias("observed"))
+
+
+def dendrogram(linkage: DataFrame) -> DataFrame:
+    """step, height, position, left_height, left_position, right_height, right_position of a linkage (step, left, right,
+    height): leaf k stands at position k and height 0, a merge midway between its two parts. A linkage has n - 1 rows of
+    the at most 5000 objects that `clustering.dense` admits."""
+    rows = linkage.select("step", "left", "right", "height").limit(5001).collect()
+    if len(rows) > 5000:
+        raise ValueError("a dendrogram takes at most 5000 merges")
+    n, at, out = len(rows) + 1, {}, []
+    for step, left, right, height in sorted(rows):
+        (hl, pl), (hr, pr) = (at.get(x, (0.0, float(x))) for x in (left, right))
+        at[n + step] = (height, (pl + pr) / 2)
+        out.append((step, height, (pl + pr) / 2, hl, pl, hr, pr))
+    return linkage.sparkSession.createDataFrame(out, "step int, height double, position double, left_height double, left_position double, right_height double, right_position double")

@@ -42,6 +42,17 @@ def read_matrix(spark: SparkSession, path: str, delimiter: str = ",", header: bo
     return d.select("row_idx", label.alias("label"), *[number(F.coalesce(F.col(f"_c{i + first}"), F.lit("")), missing).alias(n) for i, n in enumerate(names)])
 
 
+def read_blank_separated(spark: SparkSession, path: str, missing=MISSING) -> DataFrame:
+    """row_idx, label, values array<double>: a label and numbers a line, with blanks or tabs between; blank lines dropped.
+
+    A line whose second cell is neither a number nor missing (a header) is dropped too.
+    """
+    part = F.split(F.trim("value"), r"\s+")
+    d = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("row_idx"), part.alias("c"))
+    d = d.where(F.get("c", 1).isNull() | F.get("c", 1).rlike(NUMBER) | F.get("c", 1).isin(*missing))
+    return d.select("row_idx", F.col("c")[0].alias("label"), F.transform(F.expr("slice(c, 2, size(c) - 1)"), lambda x: number(x, missing)).alias("values"))
+
+
 def _literal(delimiter: str) -> str:
     return "\\Q" + delimiter + "\\E"
 
@@ -55,8 +66,10 @@ def write_matrix(df: DataFrame, path: str, delimiter: str = ",", label: str = "l
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
-    """By suffix: .csv and .txt, .tsv, .nwk and .tree (one tree a line), .parquet."""
+    """By suffix: .csv and .txt, .tsv, .nwk and .tree (one tree a line), .nex (its trees), .tps, .dat (columns apart by
+    blanks), .parquet."""
     from fossilframe.operators.phylogenetics import read_trees
+    from fossilframe.sources.nexus import read_nexus_trees, read_tps
 
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix in ("csv", "txt"):
@@ -66,6 +79,12 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     if suffix in ("nwk", "newick", "tree", "tre"):
         lines = spark.read.text(path).where(F.trim("value") != "")
         return read_trees(lines.select(F.monotonically_increasing_id().cast("string").alias("tree_id"), F.col("value").alias("newick")))
+    if suffix in ("nex", "nexus"):
+        return read_nexus_trees(spark, path)
+    if suffix == "tps":
+        return read_tps(spark, path, **options)
+    if suffix == "dat":
+        return read_blank_separated(spark, path, **options)
     if suffix == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown type {suffix}")

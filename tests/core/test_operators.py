@@ -11,6 +11,7 @@ from fossilframe.functions import special
 from fossilframe.functions.exprs import register_functions
 from fossilframe.operators import charts, clustering, ecology, hypothesis, macroevolution, morphometrics, multivariate, phylogenetics, stratigraphy, tables, transforms
 from fossilframe.sources.delimited import read_any, read_matrix, write_matrix
+from fossilframe.sources.nexus import read_nexus_characters, read_tps
 from fossilframe.streaming.windows import windowed_counts
 
 
@@ -296,3 +297,58 @@ def test_concordance_is_exact(spark):
     pairs = [(a[2] > b[2]) + 0.5 * (a[2] == b[2]) for a in rows if a[1] for b in rows if b[0] > a[0]]
     got = macroevolution._concordance(spark.createDataFrame(rows, "time double, event int, lp double"))
     assert got == pytest.approx(sum(pairs) / len(pairs), abs=1e-12)
+
+
+def test_tps_files(spark, tmp_path):
+    (tmp_path / "a.tps").write_text("LM=2\n1.5 2\n-3 4e1\nIMAGE=shell LMx.jpg\nID=first\nSCALE=0.5\nLM=1\n7 8\n9 9\n\nLM3=1\r\n1 2 3\r\nID=deep\r\n")
+    got = read_any(spark, str(tmp_path / "a.tps")).orderBy("row_idx", "landmark").collect()
+    assert [tuple(r[c] for c in ("landmark", "x", "y", "z", "scale")) for r in got] == [(1, 0.75, 1.0, None, 0.5), (2, -1.5, 20.0, None, 0.5), (1, 7.0, 8.0, None, None), (1, 1.0, 2.0, 3.0, None)]
+    assert [got[0]["specimen"], got[0]["image"], got[3]["specimen"]] == ["first", "shell LMx.jpg", "deep"]
+    raw = read_tps(spark, str(tmp_path / "a.tps"), scaled=False).filter("specimen = 'first' AND landmark = 1").first()
+    assert (raw["x"], raw["y"]) == (1.5, 2.0)
+
+
+def test_nexus_files(spark, tmp_path):
+    text = """#NEXUS
+[a comment]
+BEGIN DATA;
+  DIMENSIONS NTAX=2 NCHAR=6;
+  FORMAT DATATYPE=STANDARD;
+  MATRIX
+    'Homo sapiens' 01 0
+    Pan   111
+
+    'Homo sapiens' 222
+    Pan   33?
+  ;
+END;
+BEGIN TREES;
+  TRANSLATE 1 'Homo sapiens', 2 Pan, 3 Gorilla;
+  TREE best = [&R] ((1:1,2:1):0.5,3:2);
+  TREE other = ((1,3),2);
+END;
+"""
+    (tmp_path / "a.nex").write_text(text)
+    assert {r["taxon"]: r["seq"] for r in read_nexus_characters(spark, str(tmp_path / "a.nex")).collect()} == {"Homo sapiens": "010222", "Pan": "11133?"}
+    leaves = read_any(spark, str(tmp_path / "a.nex")).filter("is_leaf").orderBy("tree_id", "node_id").collect()
+    assert [(r["tree_id"], r["name"]) for r in leaves] == [("best", "Homo sapiens"), ("best", "Pan"), ("best", "Gorilla"), ("other", "Homo sapiens"), ("other", "Gorilla"), ("other", "Pan")]
+
+
+def test_blank_separated_files(spark, tmp_path):
+    (tmp_path / "a.dat").write_text("name  v w\n a 1   NA\n\nb\t-2.5 3\n")
+    assert [(r["label"], r["values"]) for r in read_any(spark, str(tmp_path / "a.dat")).orderBy("row_idx").collect()] == [("a", [1.0, None]), ("b", [-2.5, 3.0])]
+
+
+def test_dendrogram_and_null_histogram(spark):
+    t = spark.createDataFrame([(0, 0, 2, 1.0), (1, 1, 3, 4.0)], "step int, left int, right int, height double")
+    assert [tuple(r) for r in charts.dendrogram(t).orderBy("step").collect()] == [(0, 1.0, 1.0, 0.0, 0.0, 0.0, 2.0), (1, 4.0, 1.0, 0.0, 1.0, 1.0, 1.0)]
+    h = charts.null_histogram(spark.createDataFrame([(float(x),) for x in (0, 1, 1, 5)], "x double"), 10.0, 5).orderBy("bin").collect()
+    assert [(r["n"], r["observed"]) for r in h] == [(3, False), (0, False), (1, False), (0, False), (0, True)]
+    assert (h[0]["low"], h[4]["high"]) == (0.0, 10.0)
+
+
+def test_library_registry(spark):
+    names = registry.load()
+    assert registry.load() == names and {"ecology.diversity", "multivariate.pca", "charts.histogram"} <= set(names)
+    df = spark.createDataFrame([(float(x),) for x in range(4)], "x double")
+    assert registry.analyze("charts.histogram", df, bins=2).count() == 2
