@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.functions.exprs import distance
 from fossilframe.operators.multivariate import dense
 
 
@@ -50,35 +49,69 @@ def distance_matrix(df: DataFrame, metric: str = "euclidean", block: int = 512)
     pairwise(metric, np.ones((1, 2)), np.ones((1, 2)))  # an unknown metric fails here
     kind = df.schema["id"].dataType.simpleString()
     k = max(1, -(-df.count() // block))
+    g = _blocks(df, k)
+    left = g.select(F.col("b").alias("p"), F.col("ids").alias("xi"), F.col("flat").alias("x")).withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(k - 1))))
+    right = g.select(F.col("b").alias("q"), F.col("ids").alias("yi"), F.col("flat").alias("y"))
+    pairs = left.join(right, "q").select((F.col("p") == F.col("q")).alias("same"), "xi", "yi", "x", "y")
+    return pairs.mapInArrow(_distances(metric, once=True), f"i {kind}, j {kind}, d double")
+
+
+def _blocks(df: DataFrame, k: int) -> DataFrame:
+    """b, ids, flat: the rows of (id, features) in k blocks by a hash of the id, features one after another."""
     g = df.select("id", F.col("features").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(k)).alias("b")).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    ids, flat = F.transform("r", lambda r: r["id"]), F.flatten(F.transform("r", lambda r: r["v"]))
-    left = g.select(F.col("b").alias("p"), ids.alias("xi"), flat.alias("x")).withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(k - 1))))
-    right = g.select(F.col("b").alias("q"), ids.alias("yi"), flat.alias("y"))
+    return g.select("b", F.transform("r", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("r", lambda r: r["v"])).alias("flat"))
+
+
+def _distances(metric: str, once: bool):
+    """For rows (same, xi, yi, x, y) the distances of block x from block y; once: each unordered pair, smaller id first."""
 
     def run(it):
         for t in it:
             for row in range(t.num_rows):
-                (xi, yi), same = (t.column(c)[row].values for c in ("xi", "yi")), t.column("p")[row] == t.column("q")[row]
+                xi, yi = (t.column(c)[row].values for c in ("xi", "yi"))
                 xi, yi = (np.array(v.to_pylist()) if pa.types.is_string(v.type) else v.to_numpy(zero_copy_only=False) for v in (xi, yi))
                 x, y = (t.column(c)[row].values.to_numpy(zero_copy_only=False).reshape(len(n), -1) for c, n in (("x", xi), ("y", yi)))
                 d = pairwise(metric, x, y)
-                use = (xi[:, None] < yi) if same else np.ones(d.shape, bool)
+                use = (xi[:, None] < yi) if once and t.column("same")[row].as_py() else np.ones(d.shape, bool)
                 a, b = np.nonzero(use)
                 i, j, d = xi[a], yi[b], d[a, b]
-                swap = i > j
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                if once:
+                    swap = i > j
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
                 for s in range(0, max(1, len(d)), 200_000):
                     e = s + 200_000
                     yield pa.RecordBatch.from_arrays([pa.array(i[s:e]), pa.array(j[s:e]), pa.array(d[s:e], pa.float64())], ["i", "j", "d"])
 
-    return left.join(right, "q").select("p", "q", "xi", "yi", "x", "y").mapInArrow(run, f"i {kind}, j {kind}, d double")
+    return run
 
 
-def cross_distances(left: DataFrame, right: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """i, j, d of every row of left against every row of right, the smaller side last."""
-    a = left.select(F.col("id").alias("i"), F.col("features").cast("array<double>").alias("v_a"))
-    b = right.select(F.col("id").alias("j"), F.col("features").cast("array<double>").alias("v_b"))
-    return a.join(b, F.lit(True)).select("i", "j", distance(metric, F.col("v_a"), F.col("v_b")).alias("d"))
+def cross_distances(left: DataFrame, right: DataFrame, metric: str = "euclidean", block: int = 512) -> DataFrame:
+    """i, j, d of every row of left against every row of right, as pairs of blocks that meet by an equi-join."""
+    metric = {"braycurtis": "bray_curtis"}.get(metric, metric)
+    pairwise(metric, np.ones((1, 2)), np.ones((1, 2)))
+    ki, kj = (d.schema["id"].dataType.simpleString() for d in (left, right))
+    kl, kr = (max(1, -(-d.count() // block)) for d in (left, right))
+    a = _blocks(left, kl).select(F.col("ids").alias("xi"), F.col("flat").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(kr - 1).cast("long"))).alias("b"))
+    b = _blocks(right, kr).select("b", F.col("ids").alias("yi"), F.col("flat").alias("y"))
+    pairs = a.join(b, "b").select(F.lit(False).alias("same"), "xi", "yi", "x", "y")
+    return pairs.mapInArrow(_distances(metric, once=False), f"i {ki}, j {kj}, d double")
+
+
+def all_pairs(df: DataFrame, key: str, value: str, block: int = 512) -> DataFrame:
+    """key_a, key_b, value_a, value_b of each pair of rows with key_a < key_b; keys are distinct.
+
+    Rows are dealt to blocks by a hash of the key, and each pair of blocks meets by an equi-join, so that one task makes
+    the pairs of two blocks.
+    """
+    n = df.count()
+    k = max(1, min(n, max(8, -(-n // block))))
+    d = df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.pmod(F.xxhash64(key), F.lit(k)).alias("b"))
+    a = d.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.col("b").alias("p"), F.explode(F.sequence("b", F.lit(k - 1))).alias("q"))
+    b = d.select(F.col("k").alias("kb"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("p"), F.col("b").alias("q"))
+    both = a.join(b, ["p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("ka") < F.col("kb")))
+    first = F.col("ka") < F.col("kb")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return both.select(pick("ka", "kb").alias("key_a"), pick("kb", "ka").alias("key_b"), pick("va", "vb").alias("value_a"), pick("vb", "va").alias("value_b"))
 
 
 def community_distances(community: DataFrame) -> DataFrame:
@@ -87,7 +120,7 @@ def community_distances(community: DataFrame) -> DataFrame:
     n = c.groupBy("sample").agg(F.sum("v").alias("n"))
     both = c.alias("x").join(c.alias("y"), (F.col("x.taxon") == F.col("y.taxon")) & (F.col("x.sample") < F.col("y.sample")))
     both = both.groupBy(F.col("x.sample").alias("i"), F.col("y.sample").alias("j")).agg(F.sum(F.least("x.v", "y.v")).alias("m"))
-    pairs = n.select(F.col("sample").alias("i"), F.col("n").alias("ni")).join(n.select(F.col("sample").alias("j"), F.col("n").alias("nj")), F.col("i") < F.col("j"))
+    pairs = all_pairs(n, "sample", "n").toDF("i", "j", "ni", "nj")
     return pairs.join(both, ["i", "j"], "left").select("i", "j", (1 - 2 * F.coalesce("m", F.lit(0.0)) / (F.col("ni") + F.col("nj"))).alias("d"))
 
 

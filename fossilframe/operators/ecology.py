@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fossilframe.operators.clustering import all_pairs
 from fossilframe.operators.multivariate import symmetric_eigen
 
 
@@ -76,7 +77,7 @@ def beta_diversity(community: DataFrame, index: str = "jaccard", variant: str =
     rich = present.groupBy("sample").agg(F.count("*").alias("r"))
     both = present.alias("x").join(present.alias("y"), (F.col("x.taxon") == F.col("y.taxon")) & (F.col("x.sample") < F.col("y.sample")))
     both = both.groupBy(F.col("x.sample").alias("sample_a"), F.col("y.sample").alias("sample_b")).agg(F.count("*").alias("shared"))
-    pairs = rich.select(F.col("sample").alias("sample_a"), F.col("r").alias("ra")).join(rich.select(F.col("sample").alias("sample_b"), F.col("r").alias("rb")), F.col("sample_a") < F.col("sample_b"))
+    pairs = all_pairs(rich, "sample", "r").toDF("sample_a", "sample_b", "ra", "rb")
     p = pairs.join(both, ["sample_a", "sample_b"], "left").withColumn("a", F.coalesce("shared", F.lit(0)))
     p = p.withColumn("b", F.col("ra") - F.col("a")).withColumn("c", F.col("rb") - F.col("a"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
@@ -106,9 +107,10 @@ def null_model(community: DataFrame, statistic: str = "c_score", permutations: i
     a generator of its own.
     """
     t = totals(community)
+    cells = math.prod(t.agg(F.countDistinct("taxon"), F.countDistinct("sample")).first())
+    if cells > 20_000_000:
+        raise ValueError(f"a matrix of {cells} cells; at most 20 million can be permuted in one task")
     rows, cols = (np.array(sorted(r[0] for r in t.select(c).distinct().collect())) for c in ("taxon", "sample"))
-    if len(rows) * len(cols) > 20_000_000:
-        raise ValueError("the matrix is too large to permute in one task")
     m = np.zeros((len(rows), len(cols)), np.int8)
     for s, x in t.select("sample", "taxon").collect():
         m[np.searchsorted(rows, x), np.searchsorted(cols, s)] = 1
@@ -244,13 +246,13 @@ def paleo_environment(community: DataFrame, heights: DataFrame) -> DataFrame:
     Only the taxa x taxa matrix of chi-square products comes to the driver (at most 4000 taxa).
     """
     c = totals(community)
-    n = c.agg(F.sum("abundance")).first()[0]
+    n, k = c.agg(F.sum("abundance"), F.countDistinct("taxon")).first()
+    if k > 4000:
+        raise ValueError(f"{k} taxa; at most 4000 fit a dense eigenproblem")
     c = c.withColumn("r", F.sum("abundance").over(Window.partitionBy("sample"))).withColumn("t", F.sum("abundance").over(Window.partitionBy("taxon")))
     # (O - E) / sqrt(E) = O / sqrt(E) - sqrt(E); products of the dense second part have a closed form
     c = c.withColumn("z", F.col("abundance") / F.sqrt(F.col("r") * F.col("t") / n))
     taxa = [tuple(r) for r in c.select("taxon", "t").distinct().orderBy("taxon").collect()]
-    if len(taxa) > 4000:
-        raise ValueError("too many taxa for a dense eigenproblem")
     at = {x[0]: i for i, x in enumerate(taxa)}
     pair = c.select("sample", "taxon", "z").alias("x").join(c.select("sample", "taxon", "z").alias("y"), "sample").groupBy(F.col("x.taxon").alias("i"), F.col("y.taxon").alias("j")).agg(F.sum(F.col("x.z") * F.col("y.z")).alias("v"))
     g = np.zeros((len(taxa), len(taxa)))

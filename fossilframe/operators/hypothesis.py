@@ -23,16 +23,46 @@ def adjusted_kurtosis(x: Column) -> Column:
     return F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3))).otherwise(0.0)
 
 
+PIECES = 128  # a power of two
+
+
+def _pieces(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (by, value, c, piece): c rows hold the value; pieces are ranges of values in ascending order. And for each
+    piece (by, piece): before, the rows in earlier pieces, s, its own, and n, the group's.
+
+    The ranges end at approximate quantiles of a group's distinct values, so that a large group is sorted in as many
+    tasks as it has pieces; any ends give the same results. Nulls are left out.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    ends = counts.groupBy(*by).agg(F.percentile_approx(value, [k / PIECES for k in range(1, PIECES)], 1000).alias("ends"))
+    v = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))  # without groups: one row
+    v, step = v.withColumn("piece", F.lit(0)), PIECES // 2
+    while step:  # bisection: the number of ends below the value
+        v = v.withColumn("piece", F.col("piece") + F.when(F.get("ends", F.col("piece") + (step - 1)) < F.col(value), step).otherwise(0))
+        step //= 2
+    v = v.drop("ends")
+    sums = v.groupBy(*by, "piece").agg(F.sum("c").alias("s"))
+    whole = Window.partitionBy(*by)  # at most PIECES rows a group
+    before = F.coalesce(F.sum("s").over(whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return v, sums.select(*by, "piece", "s", before.alias("before"), F.sum("s").over(whole).alias("n"))
+
+
+def _places(v: DataFrame, sums: DataFrame, value: str, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by, "piece").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return v.join(sums, [*by, "piece"]).withColumn("last", F.col("before") + F.sum("c").over(w)).drop("piece", "s", "before")
+
+
 def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Adds k (0-based place by value within `by`) and n, through distinct values: ties cost one row."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    return counts.withColumn("last", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    """(by, value, c, n, last) for each distinct value: its rows, those of its group, and those up to and with it."""
+    return _places(*_pieces(df, value, by), value, by)
 
 
 def order_statistic(df: DataFrame, value: str, by: list[str], places: dict[str, str]) -> DataFrame:
-    """For each group the values at the given 0-based places (expressions of n): exact, by counting equal values."""
-    r = ranked(df, value, by)
+    """For each group the values at the given 0-based places (expressions of n, below n): exact, by counting equal
+    values; only the pieces that hold a place are sorted."""
+    v, sums = _pieces(df, value, by)
+    wanted = " OR ".join(f"({p} >= before AND {p} < before + s)" for p in places.values())
+    r = _places(v, sums.filter(wanted), value, by)
     pick = [F.min(F.when(F.col("last") > F.expr(p), F.col(value))).alias(name) for name, p in places.items()]
     return r.groupBy(*by).agg(*pick)
 
@@ -78,12 +108,7 @@ def anova(df: DataFrame) -> DataFrame:
 def average_ranks(df: DataFrame) -> DataFrame:
     """group, rank sum and n of each group, ties sharing their average rank; computed over distinct values."""
     v = df.filter("x IS NOT NULL").groupBy("x", "group").agg(F.count("*").alias("c"))
-    per = v.groupBy("x").agg(F.sum("c").alias("t"))
-    # ranks over distinct values in two steps, so that no task sorts them all
-    b = per.withColumn("bucket", F.floor(F.log2(F.abs("x") + 1) * F.signum("x") * 4))
-    sums = b.groupBy("bucket").agg(F.sum("t").alias("bt")).withColumn("before", F.sum("bt").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    w = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    r = b.join(F.broadcast(sums.select("bucket", F.coalesce("before", F.lit(0)).alias("before"))), "bucket").select("x", (F.col("before") + F.sum("t").over(w) - (F.col("t") - 1) / 2).alias("rank"))
+    r = ranked(df, "x", []).select("x", (F.col("last") - (F.col("c") - 1) / 2).alias("rank"))
     return v.join(r, "x").groupBy("group").agg(F.sum(F.col("c") * F.col("rank")).alias("ranks"), F.sum("c").alias("n"))
 
 

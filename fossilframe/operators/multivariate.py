@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FEATURES = 4000
+MAX_NODES = 100_000
 
 
 def symmetric_eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,10 +26,14 @@ def symmetric_eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def moments(df: DataFrame, cols: tuple[str, ...] = ("features",), by: str | None = None) -> dict:
     """{group: (n, sums, cross products)} of the concatenated array columns; rows with a null or NaN anywhere are left out.
 
-    Each task adds up its rows with one matrix product a batch and hands on one partial a group; partials are added in
-    Spark, so that at most 16 a group reach the driver, whatever the number of tasks.
+    Each task adds up its rows with one matrix product a batch; the partial matrices are added row by row in Spark, so that
+    no task holds more than one row of each partial and one matrix a group reaches the driver. All rows must be of the
+    same width, and there must be one.
     """
-    width = len(df.select(F.concat(*cols).alias("v")).filter("v IS NOT NULL").first()["v"])
+    first = df.select(F.concat(*cols).alias("v")).filter("v IS NOT NULL").first()
+    if first is None:
+        raise ValueError("no row without a null")
+    width = len(first["v"])
     if width > MAX_FEATURES:
         raise ValueError(f"{width} features; at most {MAX_FEATURES} fit a dense product")
     d = df.select(F.col(by).cast("string").alias("grp") if by else F.lit("").alias("grp"), F.concat(*cols).alias("v"))
@@ -39,24 +44,28 @@ def moments(df: DataFrame, cols: tuple[str, ...] = ("features",), by: str | None
             if pdf.empty:
                 continue
             for g, part in pdf.groupby("grp", dropna=False):
-                x = np.array([v for v in part["v"] if v is not None and len(v) == width], float)
-                x = x[~np.isnan(x).any(1)] if len(x) else x.reshape(0, width)
+                rows = [v for v in part["v"] if v is not None]
+                if any(len(v) != width for v in rows):
+                    raise ValueError(f"rows of other widths than {width}")
+                x = np.array(rows, float).reshape(len(rows), width)
+                x = x[~np.isnan(x).any(1)]
                 n, s, c = acc.get(g, (0, 0.0, 0.0))
                 acc[g] = (n + len(x), s + x.sum(0), c + x.T @ x)
-        if acc:
-            yield pd.DataFrame({"grp": list(acc), "n": [float(a[0]) for a in acc.values()], "s": [list(a[1]) for a in acc.values()], "c": [a[2].ravel().tolist() for a in acc.values()]})
+        for g, (n, s, c) in acc.items():
+            yield pd.DataFrame({"grp": [g] * (width + 1), "k": range(width + 1), "v": [[float(n), *s], *(r.tolist() for r in c)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, c = (np.sum(np.stack(pdf[k].to_list()), 0).tolist() for k in ("s", "c"))
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "n": [pdf["n"].sum()], "s": [s], "c": [c]})
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "k": [pdf["k"].iloc[0]], "v": [np.sum(np.stack(pdf["v"].to_list()), 0).tolist()]})
 
-    schema = "grp string, n double, s array<double>, c array<double>"
-    parts = d.mapInPandas(run, schema).withColumn("part", F.spark_partition_id() % 16).groupBy("grp", "part").applyInPandas(add, schema)
+    schema = "grp string, k int, v array<double>"
     out: dict = {}
-    for g, n, s, c in parts.collect():
-        m = out.get(g, (0.0, np.zeros(width), np.zeros((width, width))))
-        out[g] = (m[0] + n, m[1] + np.array(s), m[2] + np.array(c).reshape(width, width))
-    return out
+    for g, k, v in d.mapInPandas(run, schema).groupBy("grp", "k").applyInPandas(add, schema).collect():
+        n, s, c = out.setdefault(g, (np.zeros(1), np.zeros(width), np.zeros((width, width))))
+        if k:
+            c[k - 1] = v
+        else:
+            n[0], s[:] = v[0], v[1:]
+    return {g: (float(n[0]), s, c) for g, (n, s, c) in out.items()}
 
 
 def project(col: str, vectors: np.ndarray, centre: np.ndarray | None = None, scale: np.ndarray | None = None):
@@ -312,30 +321,39 @@ def disparity(df: DataFrame) -> DataFrame:
 def spanning_tree(distances: DataFrame) -> DataFrame:
     """i, j, d: the edges of a minimum spanning tree, by Boruvka rounds on the components' cheapest edges.
 
-    Ties go to the smaller pair of ids. Each round at least halves the components.
+    Ties go to the smaller pair of ids. Each round at least halves the components; their labels, of at most MAX_NODES
+    objects, are broadcast.
     """
     spark = distances.sparkSession
+    kind = distances.schema["i"].dataType.simpleString()
     edges = distances.select("i", "j", "d").persist()
     nodes = edges.select(F.col("i").alias("x")).union(edges.select("j")).distinct()
-    ids = [r[0] for r in nodes.collect()]
-    comp = {x: x for x in ids}
+    ids = [r[0] for r in nodes.limit(MAX_NODES + 1).collect()]
+    if len(ids) > MAX_NODES:
+        edges.unpersist()
+        raise ValueError(f"more than {MAX_NODES} objects")
+    up = {x: x for x in ids}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
     tree: dict = {}
-    while len(set(comp.values())) > 1:
-        label = spark.createDataFrame(list(comp.items()), f"x {distances.schema['i'].dataType.simpleString()}, c {distances.schema['i'].dataType.simpleString()}")
+    while len(set((comp := {x: root(x) for x in ids}).values())) > 1:
+        label = spark.createDataFrame(list(comp.items()), f"x {kind}, c {kind}")
         e = edges.join(F.broadcast(label.select(F.col("x").alias("i"), F.col("c").alias("ci"))), "i").join(F.broadcast(label.select(F.col("x").alias("j"), F.col("c").alias("cj"))), "j").filter("ci <> cj")
         both = e.select("ci", "i", "j", "d").union(e.select("cj", "i", "j", "d"))
         best = both.groupBy("ci").agg(F.min(F.struct("d", "i", "j")).alias("m")).select("m.d", "m.i", "m.j").distinct().collect()
         if not best:
             break
         for d, i, j in sorted(best):
-            a, b = comp[i], comp[j]
+            a, b = root(i), root(j)
             if a != b:
                 tree[(i, j)] = d
-                for x, c in comp.items():
-                    if c == b:
-                        comp[x] = a
+                up[b] = a
     edges.unpersist()
-    kind = distances.schema["i"].dataType.simpleString()
     return spark.createDataFrame([(i, j, float(d)) for (i, j), d in tree.items()], f"i {kind}, j {kind}, d double")
 
 

@@ -46,25 +46,32 @@ def transitions(states: DataFrame) -> DataFrame:
     return states.select(F.col("state").alias("from_state"), F.lead("state").over(w).alias("to_state")).filter("to_state IS NOT NULL").groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 
 
+MAX_STATES = 2000
+
+
 def markov(states: DataFrame) -> dict[str, DataFrame]:
-    """transitions with probability and expectation; test (chi2, df, p_value, is_markovian); stationary (state, p)."""
+    """transitions with probability and expectation; test (chi2, df, p_value, is_markovian); stationary (state, p).
+
+    At most MAX_STATES states: their transition matrix comes to the driver.
+    """
     t = transitions(states)
     t = t.withColumn("r", F.sum("n").over(Window.partitionBy("from_state"))).withColumn("c", F.sum("n").over(Window.partitionBy("to_state")))
     t = t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("total"))))
     t = t.select("from_state", "to_state", "n", (F.col("n") / F.col("r")).alias("p"), (F.col("r") * F.col("c") / F.col("total")).alias("expected"))
-    rows = [tuple(r) for r in t.select("from_state", "to_state", "n", "p", "expected").collect()]  # k x k states
+    if t.select("from_state").union(t.select("to_state")).distinct().count() > MAX_STATES:
+        raise ValueError(f"more than {MAX_STATES} states")
+    rows = [tuple(r) for r in t.select("from_state", "to_state", "n", "p").collect()]
     names = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    if len(names) > 2000:
-        raise ValueError("too many states")
+    at = {x: i for i, x in enumerate(names)}
     m = np.zeros((len(names), len(names)))
-    for a, b, _, p, _ in rows:
-        m[names.index(a), names.index(b)] = p
+    for a, b, _, p in rows:
+        m[at[a], at[b]] = p
     v = np.full(len(names), 1 / max(1, len(names)))
     for _ in range(100):
         v = v @ m
     n = np.zeros_like(m)
-    for a, b, c, _, _ in rows:
-        n[names.index(a), names.index(b)] = c
+    for a, b, c, _ in rows:
+        n[at[a], at[b]] = c
     e = np.outer(n.sum(1), n.sum(0)) / max(n.sum(), 1)
     chi2 = float(((n - e)[e > 0] ** 2 / e[e > 0]).sum())
     df = (len(names) - 1) ** 2
@@ -260,7 +267,7 @@ def flag_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5) ->
         return df.join(F.broadcast(s), "group").select("group", "x", F.coalesce(F.abs(x - F.col("m")) / F.nullif("sd", F.lit(0.0)) > threshold, F.lit(False)).alias("is_outlier"))
     q = order_statistic(df, "x", ["group"], {"q1": "floor(n * 0.25)", "q3": "floor(n * 0.75)"})
     span = (F.col("q3") - F.col("q1")) * threshold
-    return df.join(F.broadcast(q), "group").select("group", "x", ((x < F.col("q1") - span) | (x > F.col("q3") + span)).alias("is_outlier"))
+    return df.join(q, "group", "left").select("group", "x", ((x < F.col("q1") - span) | (x > F.col("q3") + span)).alias("is_outlier"))
 
 
 def remove_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5) -> DataFrame:

@@ -352,3 +352,58 @@ def test_library_registry(spark):
     assert registry.load() == names and {"ecology.diversity", "multivariate.pca", "charts.histogram"} <= set(names)
     df = spark.createDataFrame([(float(x),) for x in range(4)], "x double")
     assert registry.analyze("charts.histogram", df, bins=2).count() == 2
+
+
+def test_order_statistics_in_pieces(spark):
+    rng = np.random.default_rng(5)
+    rows = [("wide", float(v)) for v in rng.normal(1e6, 1e-3, 3000)] + [("ties", float(v)) for v in rng.integers(0, 3, 500)]
+    rows += [("one", 4.0), ("one", None), ("none", None), ("zero", 0.0), ("zero", -0.0)]
+    df = spark.createDataFrame(rows, "group string, x double")
+    got = {r["group"]: (r["low"], r["mid"], r["top"]) for r in hypothesis.order_statistic(df, "x", ["group"], {"low": "0", "mid": "floor(n * 0.5)", "top": "n - 1"}).collect()}
+    for g in ("wide", "ties", "one", "zero"):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got.pop(g) == (v[0], v[len(v) // 2], v[-1])
+    assert not got
+    values = sorted(x for _, x in rows if x is not None)
+    for r in hypothesis.ranked(df, "x", []).collect():
+        assert (r["c"], r["last"], r["n"]) == (values.count(r["x"]), sum(v <= r["x"] for v in values), len(values))
+    assert hypothesis.order_statistic(df.limit(0), "x", ["group"], {"mid": "n div 2"}).count() == 0
+    assert hypothesis.order_statistic(df.limit(0), "x", [], {"mid": "n div 2"}).first()["mid"] is None
+
+
+def test_pairs_of_blocks(spark):
+    x = np.random.default_rng(6).normal(size=(70, 3))
+    left = spark.createDataFrame([(f"s{i:02}", [float(v) for v in r]) for i, r in enumerate(x[:40])], "id string, features array<double>")
+    right = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[40:])], "id int, features array<double>")
+    got = {(r["i"], r["j"]): r["d"] for r in clustering.cross_distances(left, right, block=7).collect()}
+    assert len(got) == 40 * 30
+    for (i, j), d in got.items():
+        assert d == pytest.approx(np.linalg.norm(x[int(i[1:])] - x[40 + j]))
+    assert clustering.cross_distances(left.limit(0), right).count() == 0
+    for n in (0, 1, 5, 60):
+        df = spark.range(n).select(F.col("id").alias("sample"), (F.col("id") * 10).alias("r"))
+        rows = [tuple(r) for r in clustering.all_pairs(df, "sample", "r", block=9).collect()]
+        assert sorted(rows) == [(a, b, 10 * a, 10 * b) for a in range(n) for b in range(a + 1, n)]
+
+
+def test_limits_are_checked_first(spark, monkeypatch):
+    d = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 3.0)], "i int, j int, d double")
+    assert sorted(tuple(r) for r in multivariate.spanning_tree(d).collect()) == [(1, 2, 1.0), (2, 3, 2.0)]
+    monkeypatch.setattr(multivariate, "MAX_NODES", 2)
+    with pytest.raises(ValueError):
+        multivariate.spanning_tree(d)
+    monkeypatch.setattr(stratigraphy, "MAX_STATES", 1)
+    with pytest.raises(ValueError):
+        stratigraphy.markov(spark.createDataFrame([("s", 1, "a"), ("s", 2, "b")], "seq_id string, pos int, state string"))
+    with pytest.raises(ValueError):
+        multivariate.moments(spark.createDataFrame([(None,)], "features array<double>"))
+
+
+def test_moments_of_groups(spark):
+    x = np.random.default_rng(7).normal(size=(50, 4))
+    rows = [(f"g{i % 3}", [float(v) for v in r]) for i, r in enumerate(x)] + [("g0", None), ("g1", [1.0, float("nan"), 0.0, 0.0])]
+    got = multivariate.moments(spark.createDataFrame(rows, "grp string, features array<double>").repartition(6), by="grp")
+    for k in range(3):
+        n, s, c = got[f"g{k}"]
+        part = x[k::3]
+        assert n == len(part) and np.allclose(s, part.sum(0)) and np.allclose(c, part.T @ part)
