@@ -336,18 +336,22 @@ def t_test(spark, sf):
 @query(
     f"""WITH {I.PRICES}, g AS (SELECT grp, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM prices GROUP BY grp), o AS (SELECT avg(x) AS mm, count(*) AS t FROM prices),
 s AS (SELECT sum(n * (m - mm) * (m - mm)) AS b, sum(ss) AS w, count(*) - 1 AS d1, max(t) - count(*) AS d2 FROM g, o)
-SELECT CAST(d1 AS BIGINT) AS df1, CAST(d2 AS BIGINT) AS df2, round(b / d1 / (w / d2), 3) AS f FROM s"""
+SELECT CAST(d1 AS BIGINT) AS df1, CAST(d2 AS BIGINT) AS df2, round(b / d1 / (w / d2), 3) AS f, round(b / w * 1e6, 3) AS ratio_ppm,
+  CASE WHEN d1 = 2 THEN round(pow(1 + 2 * (b / d1 / (w / d2)) / d2, -d2 / 2.0::DOUBLE), 5) END AS p_value FROM s"""
 )
 def anova(spark, sf):
-    return hypothesis.anova(I.prices(spark, sf)).select("df1", "df2", F.round("f", 3).alias("f"))
+    """ratio_ppm: ssb of ssw in millionths. Three groups: the p-value has a closed form."""
+    a = hypothesis.anova(I.prices(spark, sf))
+    return a.select("df1", "df2", F.round("f", 3).alias("f"), F.round(F.col("ssb") / F.col("ssw") * 1e6, 3).alias("ratio_ppm"), F.round("p_value", 5).alias("p_value"))
 
 
 @query(
     f"""WITH {I.PRICES}, r AS (SELECT grp, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0::DOUBLE AS r FROM prices), g AS (SELECT grp, sum(r) AS s, count(*) AS n FROM r GROUP BY grp)
-SELECT round(12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1), 4) AS h, CAST(count(*) - 1 AS BIGINT) AS df FROM g"""
+, t AS (SELECT 12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1) AS h, count(*) - 1 AS df FROM g)
+SELECT round(h, 4) AS h, CAST(df AS BIGINT) AS df, CASE WHEN df = 2 THEN round(exp(-h / 2), 5) END AS p_value FROM t"""
 )
 def kruskal_wallis(spark, sf):
-    return hypothesis.kruskal_wallis(I.prices(spark, sf, "l_quantity")).select(F.round("h", 4).alias("h"), "df")
+    return rounded(hypothesis.kruskal_wallis(I.prices(spark, sf, "l_quantity")).withColumn("h", F.round("h", 4)), 5)
 
 
 @query(
@@ -438,12 +442,20 @@ def markov_transitions(spark, sf):
     return rounded(stratigraphy.markov(I.states(spark, sf))["transitions"])
 
 
-@query(TRANSITIONS + ", e AS (SELECT n, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM t) SELECT round(sum((n - e) * (n - e) / e), 5) AS chi2, CAST((SELECT (count(DISTINCT a) - 1) * (count(DISTINCT a) - 1) FROM t) AS INT) AS df FROM e")
+@query(TRANSITIONS + """, e AS (SELECT n, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM t), c AS (SELECT sum((n - e) * (n - e) / e) AS x, (SELECT (count(DISTINCT a) - 1) * (count(DISTINCT a) - 1) FROM t) AS df FROM e),
+p AS (SELECT x, df, CASE WHEN df % 2 = 0 THEN exp(-x / 2) * (SELECT sum(pow(x / 2, k) / gamma(k + 1)) FROM range(0, 1000) r(k) WHERE k < df / 2) END AS p FROM c)
+SELECT round(x, 5) AS chi2, CAST(df AS INT) AS df, round(p, 5) AS p_value, p < 0.05 AS is_markovian FROM p""")
 def markov_test(spark, sf):
-    return stratigraphy.markov(I.states(spark, sf))["test"].select(F.round("chi2", 5).alias("chi2"), "df")
+    """Five states: the chi-square tail of an even number of degrees of freedom is a finite sum."""
+    return rounded(stratigraphy.markov(I.states(spark, sf))["test"], 5)
 
 
-@query()
+@query(
+    TRANSITIONS.replace("WITH", "WITH RECURSIVE", 1)
+    + """, p AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS p FROM t), s AS (SELECT a FROM t UNION SELECT b FROM t),
+v AS (SELECT 0 AS i, a, 1.0::DOUBLE / (SELECT count(*) FROM s) AS v FROM s UNION ALL SELECT i + 1, p.b, sum(v * p) FROM v JOIN p ON v.a = p.a WHERE i < 100 GROUP BY i + 1, p.b)
+SELECT a AS state, round(v, 6) AS p FROM v WHERE i = 100"""
+)
 def markov_stationary(spark, sf):
     return rounded(stratigraphy.markov(I.states(spark, sf))["stationary"])
 
@@ -919,8 +931,18 @@ def chart_ellipse(spark, sf):
     return rounded(charts.confidence_ellipse(d), 5)
 
 
-@query()
+PHI = "(0.5 + exp(-{x} * {x} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 100), lambda k: pow({x}, 2 * k + 1) * sqrt(pi()) / (gamma(k + 1.5::DOUBLE) * pow(2.0::DOUBLE, k + 1)))))"
+
+
+@query(
+    f"""WITH RECURSIVE {I.PRICES}, c AS (SELECT q AS x, count(*) AS c FROM prices WHERE q IS NOT NULL GROUP BY q),
+p AS (SELECT x, (sum(c) OVER (ORDER BY x) - c + 0.5) / CAST(sum(c) OVER () AS DOUBLE) AS p, sum(c) OVER () AS n FROM c),
+z AS (SELECT 0 AS i, x, p, -8.0::DOUBLE AS lo, 8.0::DOUBLE AS hi FROM p WHERE n >= 3
+  UNION ALL SELECT i + 1, x, p, CASE WHEN {PHI.format(x="((lo + hi) / 2)")} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {PHI.format(x="((lo + hi) / 2)")} < p THEN hi ELSE (lo + hi) / 2 END FROM z WHERE i < 50)
+SELECT x, round((lo + hi) / 2, 6) AS theoretical FROM z WHERE i = 50"""
+)
 def chart_qq(spark, sf):
+    """The SQL finds each quantile by bisection of the series of the normal distribution."""
     return rounded(charts.qq(I.prices(spark, sf, "l_quantity")))
 
 
