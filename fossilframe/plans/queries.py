@@ -143,8 +143,16 @@ def paleo_environment(spark, sf):
     return rounded(ecology.paleo_environment(c, c.groupBy("sample").agg(F.max("sample").cast("double").alias("height"))))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I.COUNTED}, c AS (SELECT sample, taxon, sum(abundance) AS a FROM community WHERE abundance > 0 GROUP BY sample, taxon),
+t AS (SELECT sample, CAST(count(*) AS DOUBLE) AS s, CAST(sum(a) AS DOUBLE) AS n FROM c GROUP BY sample),
+z AS (SELECT 0 AS k, sample, s, n, 1e-9::DOUBLE AS lo, 1e9::DOUBLE AS hi FROM t WHERE n > s
+  UNION ALL SELECT k + 1, sample, s, n, CASE WHEN sqrt(lo * hi) * ln(1 + n / sqrt(lo * hi)) < s THEN sqrt(lo * hi) ELSE lo END, CASE WHEN sqrt(lo * hi) * ln(1 + n / sqrt(lo * hi)) < s THEN hi ELSE sqrt(lo * hi) END FROM z WHERE k < 100),
+f AS (SELECT sample, CAST(floor(a) AS BIGINT) AS i, count(*) AS observed FROM c GROUP BY 1, 2)
+SELECT sample, round(lo, 6) AS alpha, round(n / (lo + n), 6) AS x, i, observed, round(lo * pow(n / (lo + n), i) / i, 6) AS expected FROM z JOIN f USING (sample) WHERE k = 100"""
+)
 def log_series(spark, sf):
+    """The SQL finds alpha by bisection."""
     return rounded(ecology.log_series(I.counts(spark, sf)))
 
 
@@ -473,8 +481,15 @@ def extinction_marshall(spark, sf):
     return rounded(stratigraphy.extinction_ci(I.lads(spark, sf)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I.LADS}, t AS (SELECT rank, lad, count(*) OVER () AS n, max(lad) OVER () AS top FROM lads),
+z AS (SELECT 0 AS i, rank, lad, n, top, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM t
+  UNION ALL SELECT i + 1, rank, lad, n, top, CASE WHEN p < 0.95 THEN m ELSE lo END, CASE WHEN p < 0.95 THEN hi ELSE m END FROM (SELECT *, (lo + hi) / 2 AS m,
+    list_sum(list_transform(range(rank, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) AS p FROM z WHERE i < 45))
+SELECT rank, lad, lad AS lower, round(lad + greatest(0, (lo + hi) / 2 - CAST(rank AS DOUBLE) / (n + 1)) * greatest(1, top), 6) AS upper FROM z WHERE i = 45"""
+)
 def extinction_strauss_sadler(spark, sf):
+    """The SQL finds the quantile by bisection of the binomial tail, which is the beta distribution at whole numbers."""
     return rounded(stratigraphy.extinction_ci(I.lads(spark, sf), "strauss_sadler"))
 
 
@@ -521,7 +536,13 @@ def wavelet(spark, sf):
     return stratigraphy.wavelet(I.values(spark, sf)).select("series", "scale", F.round("period", 6).alias("period"), F.round("power", 3).alias("power"), "is_peak")
 
 
-@query()
+@query(
+    f"""WITH {I.DAILY}, n AS (SELECT a.series, a.pos, a.x, b.y, abs(b.x - a.x) AS d, row_number() OVER (PARTITION BY a.series, a.pos ORDER BY abs(b.x - a.x), b.pos) AS k, count(*) OVER (PARTITION BY a.series, a.pos) AS n
+  FROM series a JOIN series b ON a.series = b.series),
+t AS (SELECT *, max(d) OVER (PARTITION BY series, pos) AS top FROM n WHERE k <= greatest(2, floor(0.3::DOUBLE * n))),
+w AS (SELECT *, CASE WHEN top > 0 THEN pow(1 - pow(least(1.0::DOUBLE, d / top), 3), 3) ELSE 1.0::DOUBLE END AS w FROM t)
+SELECT series, pos, x, round(CASE WHEN sum(w) > 0 THEN sum(w * y) / sum(w) ELSE avg(y) END, 6) AS smooth FROM w GROUP BY series, pos, x"""
+)
 def lowess(spark, sf):
     return rounded(stratigraphy.lowess(I.series(spark, sf)))
 
