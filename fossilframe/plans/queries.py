@@ -287,8 +287,16 @@ def bounding_box(spark, sf):
     return rounded(multivariate.convex_hull(I.specimens(spark, sf).select(F.slice("features", 1, 4).alias("features"))))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I.SPECIMENS}, p AS (SELECT DISTINCT CAST(v[1] AS DOUBLE) AS x, CAST(v[2] AS DOUBLE) AS y FROM specimens), o AS (SELECT x, y FROM p ORDER BY x, y LIMIT 1),
+h AS (SELECT 0 AS i, x, y, -pi() / 2 AS turn, x AS x0, y AS y0 FROM o
+  UNION ALL SELECT i + 1, b.x, b.y, b.turn, x0, y0 FROM (
+    SELECT i, x0, y0, arg_min({{'x': p.x, 'y': p.y, 'turn': atan2(p.y - h.y, p.x - h.x)}}, (atan2(p.y - h.y, p.x - h.x) - h.turn + 4 * pi()) % (2 * pi())) AS b
+    FROM h, p WHERE (p.x <> h.x OR p.y <> h.y) AND (h.i = 0 OR h.x <> h.x0 OR h.y <> h.y0) AND h.i < 1000 GROUP BY i, x0, y0))
+SELECT round(sum(a.x * b.y - b.x * a.y) / 2, 6) AS measure FROM h a JOIN h b ON b.i = a.i + 1"""
+)
 def convex_hull(spark, sf):
+    """The SQL walks around the points, turning as little as it can."""
     return rounded(multivariate.convex_hull(I.specimens(spark, sf).select(F.slice("features", 1, 2).alias("features"))))
 
 
