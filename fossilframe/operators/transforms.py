@@ -73,13 +73,14 @@ def min_max(m: DataFrame) -> DataFrame:
 def boxcox_lambda(m: DataFrame) -> DataFrame:
     """variable, lambda, likelihood: the best of -2, -1.9, ..., 2 by profile log-likelihood over positive values.
 
-    One pass: the grid is a set of aggregates, no row is copied. With fewer than two positive values lambda is 1.
+    One pass: the grid is a set of aggregates, no row is copied. With fewer than two positive values lambda is 1. The
+    variance of (x^g - 1) / g is taken as that of x^g over g^2: for large x and negative g, x^g - 1 would lose x^g's digits.
     """
     x, lx = F.col("value"), F.log("value")
     grid = [round(-2 + 0.1 * k, 1) for k in range(41)]
-    shape = lambda g: lx if g == 0 else (F.pow(x, F.lit(g)) - 1) / g
+    spread = lambda g: F.var_pop(lx) if g == 0 else F.var_pop(F.pow(x, F.lit(g))) / (g * g)
     n, s = F.count(x), F.sum(lx)
-    a = m.filter("value > 0").groupBy("variable").agg(n.alias("n"), F.array(*[F.struct((-n / 2 * F.log(F.var_pop(shape(g))) + (g - 1) * s).alias("likelihood"), F.lit(-abs(g - 1)).alias("near"), F.lit(g).alias("lambda")) for g in grid]).alias("all"))
+    a = m.filter("value > 0").groupBy("variable").agg(n.alias("n"), F.array(*[F.struct((-n / 2 * F.log(spread(g)) + (g - 1) * s).alias("likelihood"), F.lit(-abs(g - 1)).alias("near"), F.lit(g).alias("lambda")) for g in grid]).alias("all"))
     best = F.array_max(F.filter("all", lambda e: e["likelihood"].isNotNull() & (e["likelihood"] < 1e300)))
     a = a.withColumn("best", F.when(F.col("n") >= 2, best))
     return m.select("variable").distinct().join(a, "variable", "left").select("variable", F.coalesce("best.lambda", F.lit(1.0)).alias("lambda"), F.col("best.likelihood").alias("likelihood"))
