@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fossilframe.functions import special
 from fossilframe.functions.exprs import two_sided_p
+from fossilframe.operators.hypothesis import PIECES
 
 
 def _overlapping(ranges: DataFrame, intervals: DataFrame, touch: str) -> DataFrame:
@@ -159,15 +161,33 @@ def cox(df: DataFrame, max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
 def _concordance(d: DataFrame) -> float:
     """Share of comparable pairs (the earlier one an event) whose order the predictor gives; equal predictors are half right.
 
-    Exact: pairs are counted by halving the ranks of the distinct predictors, a bit at a time. The distinct (time, lp) meet
-    on the driver, in arrays of a few numbers each.
+    Exact. The distinct (time, lp) are cut into PIECES ranges of lp. Pairs within a range are counted in its task, by halving
+    the ranks of its predictors, a bit at a time; pairs across ranges from the sums by range and time, which alone reach the
+    driver.
     """
-    g = d.filter("time IS NOT NULL AND lp IS NOT NULL").groupBy("time", "lp").agg(F.sum("event").cast("double").alias("e"), F.count("*").cast("double").alias("n")).toArrow()
-    if not g.num_rows:
+    g = d.filter("time IS NOT NULL AND lp IS NOT NULL").groupBy("time", "lp").agg(F.coalesce(F.sum("event"), F.lit(0)).cast("double").alias("e"), F.count("*").cast("double").alias("n")).persist()
+    ends = g.agg(F.percentile_approx("lp", [k / PIECES for k in range(1, PIECES)], 1000)).first()[0]
+    if not ends:
+        g.unpersist()
         return 0.5
-    time, lp, e, n = (g.column(c).to_numpy() for c in ("time", "lp", "e", "n"))
+    g = g.withColumn("piece", F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(ends))]), lambda x: x < F.col("lp"))))
+    good = g.groupBy("piece").applyInArrow(_ordered_pairs, "good double").agg(F.sum("good")).first()[0]
+    t = g.groupBy("piece", "time").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).toArrow()
+    g.unpersist()
+    times, at = np.unique(t.column("time").to_numpy(), return_inverse=True)
+    e, n = np.zeros((PIECES, len(times))), np.zeros((PIECES, len(times)))
+    e[t.column("piece").to_numpy(), at], n[t.column("piece").to_numpy(), at] = t.column("e").to_numpy(), t.column("n").to_numpy()
+    later = n.sum(1)[:, None] - np.cumsum(n, 1)
+    below = np.cumsum(later, 0) - later
+    all_ = float((e.sum(0) * later.sum(0)).sum())
+    return (good + float((e * below).sum())) / all_ if all_ else 0.5
+
+
+def _ordered_pairs(t: pa.Table) -> pa.Table:
+    """good: the pairs of an event and a row of later time and lower lp, and half of those of equal lp."""
+    time, lp, e, n = (t.column(c).to_numpy() for c in ("time", "lp", "e", "n"))
     order = np.argsort(-time, kind="stable")
-    time, lp, e, n = time[order], lp[order], np.nan_to_num(e[order]), n[order]
+    time, lp, e, n = time[order], lp[order], e[order], n[order]
     rank = np.unique(lp, return_inverse=True)[1]
 
     def later(group: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -181,12 +201,11 @@ def _concordance(d: DataFrame) -> float:
         out[o] = before[np.flatnonzero(tied)[np.cumsum(tied) - 1]] - before[np.flatnonzero(start)[np.cumsum(start) - 1]]
         return out
 
-    all_ = float(e @ later(np.zeros_like(rank), n))
     good = float(e @ later(rank, n)) / 2
     for bit in range(int(rank.max()).bit_length()):
         upper = (rank >> bit & 1) == 1
         good += float(e[upper] @ later(rank >> (bit + 1), np.where(upper, 0.0, n))[upper])
-    return good / all_ if all_ else 0.5
+    return pa.table({"good": [good]})
 
 
 def log_rank(df: DataFrame, first, second) -> DataFrame:
