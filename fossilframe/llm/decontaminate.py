@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from fossilframe.llm.common import LOWER, batches_of, drop_stored, ranged_scan, stored
+from fossilframe.llm.common import LOWER, batches_of, drop_stored, ranged_scan, release, stored
 
 #: Words once A-Z is lower-cased; over the text as it stands the same words are found with A-Z allowed.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -158,17 +158,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: The automata of one call of with_hits, for all tasks of a worker.
 _BUILT: dict[tuple, SuffixAutomaton] = {}
 
 
 def _automaton(key: tuple, items: list, window: int) -> SuffixAutomaton:
     if key not in _BUILT:
+        for other in [k for k in _BUILT if k[0] != key[0]]:
+            del _BUILT[other]
         if len(_BUILT) >= 4:
             _BUILT.pop(next(iter(_BUILT)))
         _BUILT[key] = SuffixAutomaton(items, window)
     return _BUILT[key]
 
 
+def _forget() -> None:
+    """What a task leaves its worker: the automata without the words that they met."""
+    for a in _BUILT.values():
+        a.cache.clear()
+    release()
+
+
 def parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[list]]:
     """The items as words, in parts of blocks, read one part at a time. Items without words have no window."""
     b = ranged_scan(benchmark, id_col, text_col).filter(F.col(text_col).isNotNull())
@@ -221,6 +231,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callab
                 else:
                     cols = [b.column(0), b.column(1), pa.array([list(map(list, s)) for s in spans], b.schema.field(2).type), pa.array(items, b.schema.field(3).type)]
                     yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+            _forget()
 
         d = d.mapInArrow(run, made if last else d.schema)
         if not last:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fossilframe.llm.common import batches_of, ranged_scan
+from fossilframe.llm.common import batches_of, ranged_scan, release
 
 ORDER = 3
 #: Sampled labelled documents for each language, at most about.
@@ -232,5 +232,6 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         for b in batches_of(it, BLOCK):
             got = m.predict_all(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

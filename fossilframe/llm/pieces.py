@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fossilframe.llm.common import batches_of, ranged_scan
+from fossilframe.llm.common import batches_of, ranged_scan, release
 
 SPACE = "▁"
 
@@ -284,6 +284,12 @@ class PieceCodec:
         text = self._text_of(ids)
         return text[1:] if self.dummy and text.startswith(" ") else text
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that waits for other stages would hold on to them."""
+        for cache in (self.pairs, self.words, self.parts):
+            cache.clear()
+        release()
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, hex digest of the ids joined by one space, hex digest of the decoded text."""
         words, look = self.words, self._look
@@ -314,6 +320,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for b in batches_of(it, 4 << 20):
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+        c.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return ranged_scan(docs, id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
