@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds.
 
 A rule rejects documents whose feature lies at its cutoff or beyond; a set of cutoffs rejects what any of its rules does.
-Labelled documents (quality 1: good) are the holdout, each stratum (language) by itself. A bounded part of them (a third,
-TUNE at most) proposes a path: cutoffs added one by one, each that which separates best what is left, the share of bad
+Labelled documents (quality 1: good) are the holdout, each stratum (language) by itself. A third of them
+proposes a path: cutoffs added one by one, each that which separates best what is left, the share of bad
 documents it rejects less COST times that of good ones. So the path's sets are nested and were chosen before the rest of
 the labels, all of it, is looked at. On that rest the sets are tested in order: "the rules together reject more than ALPHA
 of the good documents" is refuted where the exact (Clopper-Pearson) upper bound of that rate is at most ALPHA, with an
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from fossilframe.llm.common import WORD, batches_of, drop_stored, ranged_scan, stored
 
 ALPHA, DELTA, COST = 0.05, 0.05, 10.0
-#: Labelled documents of a stratum that propose its path, about, at most.
-TUNE = 5000
+#: Labelled documents of a stratum that propose its path, at most: all of its third do.
+TUNE = math.inf
 #: Rules: per mille, rejected at the cutoff and above.
 RULES = ("symbols", "marks", "dup_lines", "repeats", "long_words", "capitals")
 GRID = tuple(range(10, 1001, 10))
@@ -104,19 +104,21 @@ def most_failures(n: int, rate: float, error: float) -> int:
     return k
 
 
-def propose(good: np.ndarray, values: np.ndarray) -> list[tuple[str, int]]:
-    """The path: (rule, cutoff) after (rule, cutoff), until none gains. values: a row of features for each document.
+def propose(good: np.ndarray, values: np.ndarray, count: np.ndarray | None = None) -> list[tuple[str, int]]:
+    """The path: (rule, cutoff) after (rule, cutoff), until none gains. values: a row of features for each document, or for
+    each `count` documents alike in the grid's steps.
 
-    Of equal gains the earliest rule's highest cutoff is taken.
+    Of equal gains the earliest rule's highest cutoff is taken. What each cutoff rejects is summed over the grid's steps.
     """
     path: list[tuple[str, int]] = []
-    n, m = max(1, int(good.sum())), max(1, int((~good).sum()))
-    weight, left = np.where(good, -COST / n, 1 / m), np.ones(len(good), bool)
+    count = np.ones(len(good)) if count is None else count.astype(float)
+    n, m = max(1, int(count[good].sum())), max(1, int(count[~good].sum()))
+    step, left = np.minimum(values // GRID[0], len(GRID)), np.ones(len(good), bool)
     while True:
         best, most = None, 1e-12
         for r in range(len(RULES)):
-            for cutoff in reversed(GRID):
-                gain = weight[left & (values[:, r] >= cutoff)].sum()
+            lost, hit = (np.cumsum(np.bincount(step[of, r], count[of], len(GRID) + 1)[::-1]) for of in (left & good, left & ~good))
+            for cutoff, gain in zip(reversed(GRID), (hit / m - COST * lost / n).tolist(), strict=False):
                 if gain > most + 1e-12:
                     best, most = (r, cutoff), gain
         if best is None:
@@ -162,10 +164,11 @@ def cutoffs(table: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     held = held.join(sizes, F.col("stratum").eqNullSafe(F.col("s"))).withColumn("tunes", tuned)
 
     def path(key: tuple, t: pa.Table) -> pa.Table:
-        steps = propose(t.column("good").to_numpy(), np.stack([t.column(r).to_numpy() for r in RULES], 1))
+        steps = propose(t.column("good").to_numpy(), np.stack([t.column(r).to_numpy() for r in RULES], 1), t.column("n").to_numpy())
         return pa.table({"s": pa.array([key[0].as_py()] * len(steps), pa.string()), "step": pa.array(range(len(steps)), pa.int32()), "rule": pa.array([r for r, _ in steps], pa.string()), "cutoff": pa.array([c for _, c in steps], pa.int32())})
 
-    paths = stored(held.filter("tunes").groupBy("stratum").applyInArrow(path, "s string, step int, rule string, cutoff int"))
+    cells = held.filter("tunes").groupBy("stratum", "good", *[(F.col(r) - F.col(r) % GRID[0]).alias(r) for r in RULES]).agg(F.count("*").alias("n"))
+    paths = stored(cells.groupBy("stratum").applyInArrow(path, "s string, step int, rule string, cutoff int"))
     listed = paths.groupBy("s").agg(F.collect_list(F.struct("step", "rule", "cutoff")).alias("path")).withColumnRenamed("s", "of")
     value = "CASE " + " ".join(f"WHEN x.rule = '{r}' THEN {r}" for r in RULES) + " END"
     rest = held.filter("NOT tunes AND good").join(listed, F.col("stratum").eqNullSafe(F.col("of")))
