@@ -28,8 +28,10 @@ from fossilframe.llm.common import LOWER, batches_of, drop_stored, ranged_scan,
 #: Words once A-Z is lower-cased; over the text as it stands the same words are found with A-Z allowed.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 BLOCK_WORDS, PART_WORDS = 100_000, 400_000
+#: Words of documents that an automaton remembers, at most.
+CACHED = 20_000
 #: Bytes of documents that are streamed through a part's blocks together, about.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 class SuffixAutomaton:
@@ -108,7 +110,7 @@ class SuffixAutomaton:
 
     def ids(self, words: list[str]) -> list[int]:
         cache, known = self.cache, self.vocabulary
-        if len(cache) > 300_000:
+        if len(cache) > CACHED:
             cache.clear()
         out = list(map(cache.get, words))
         if None in out:
@@ -173,9 +175,11 @@ def _automaton(key: tuple, items: list, window: int) -> SuffixAutomaton:
 
 
 def _forget() -> None:
-    """What a task leaves its worker: the automata without the words that they met."""
+    """What a task leaves its worker: the automata without the words that they met, and none that is soon built again."""
     for a in _BUILT.values():
         a.cache.clear()
+    if sum(len(a.next) for a in _BUILT.values()) < 50_000:
+        _BUILT.clear()
     release()
 
 
